@@ -41,6 +41,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def batched(docs: DataFrame, rows: int = 1000) -> DataFrame:
+    """docs, with Arrow batches of at most so many rows from now on in its session: whole texts are long, and a batch is held several times."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return docs
+
+
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows (counted here), else as it is: then Spark shuffles both sides."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, encoder, tokenizer_path
+from .common import batched, cut, encoder, tokenizer_path
 
 SIZE = 2048
 #: Rows of one (length, bucket) that are numbered in one task, about.
@@ -35,7 +35,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, id_col: str = "doc_id",
                     at, k = end, k + 1
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], type=t) for c, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return batched(docs).select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def patterns(lengths: np.ndarray, size: int, most: int = 40_000) -> np.ndarray:

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import batched
+
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -158,7 +160,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             yield pa.RecordBatch.from_arrays([b.column(0), *n, sha, pa.array([digest(x) for _, x in rows])], names=["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"])
 
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return batched(docs).select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
 def redact_text(text: str) -> str:
@@ -181,7 +183,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             new = pa.array([None if (t := x.as_py()) is None else redact_text(t) for x in b.column(k)], type=pa.string())
             yield b.set_column(k, b.schema.field(k).with_type(pa.string()), new)
 
-    return docs.mapInArrow(run, docs.schema)
+    return batched(docs).mapInArrow(run, docs.schema)
 
 
 def op7_pii(docs: DataFrame) -> DataFrame:

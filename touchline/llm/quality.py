@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import batched
 from .sampling import sample
 
 #: Bytes of a chunk, and of its part that the next one doesn't share.
@@ -144,7 +145,7 @@ def score(docs: DataFrame, net: ByteConvNet, text_col: str = "text") -> DataFram
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([net.score(t.as_py()) for t in b.column(1)], type=pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, score double")
+    return batched(docs).select(F.col("doc_id").cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, score double")
 
 
 def op1_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

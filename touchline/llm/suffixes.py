@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, sized
+from .common import batched, cut, sized
 
 #: Distinct contexts of one core that are sorted in one task at most; cores with more are split into longer ones.
 GROUP = 64
 #: Contexts' symbols sorted at once in a task, bytes of text hashed at once.
-SYMBOLS, BYTES = 1_000_000, 1 << 21
+SYMBOLS, BYTES = 400_000, 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -382,7 +382,7 @@ def repeated(docs: DataFrame, length: int = 400) -> DataFrame:
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, row, text); row is a hash that tells texts of the same id apart."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
+    return batched(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
 
 
 def deduplicated(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import encoder, new_path, tokenizer_path
+from .common import batched, encoder, new_path, tokenizer_path
 
 KEYS = ["source", "lang", "tokenizer"]
 SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_chars long"
@@ -23,7 +23,7 @@ def counted(docs: DataFrame, path: str, version: str, text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *KEYS, "n_tokens", "n_chars"])
 
     cols = [F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col(text_col).cast("string")]
-    return docs.select(*cols).mapInArrow(run, "doc_id long, source string, lang string, tokenizer string, n_tokens long, n_chars long")
+    return batched(docs).select(*cols).mapInArrow(run, "doc_id long, source string, lang string, tokenizer string, n_tokens long, n_chars long")
 
 
 def inserts(rows: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import batched
 from .sampling import sample
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -108,7 +109,7 @@ def with_severity(docs: DataFrame, model: OrdinalModel, text_col: str = "text",
             got = pa.array([model.severity(t.as_py()) for t in b.column(b.schema.get_field_index(text_col))], type=pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, got], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return batched(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def op8_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
