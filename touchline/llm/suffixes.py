@@ -13,9 +13,11 @@ from pyspark.sql.window import Window
 from .common import batched, cut, sized
 
 #: Distinct contexts of one core that are sorted in one task at most; cores with more are split into longer ones.
-GROUP = 64
+GROUP = 500
 #: Contexts' symbols sorted at once in a task, bytes of text hashed at once.
 SYMBOLS, BYTES = 400_000, 1 << 20
+#: Strings below which they are emitted one by one.
+FEW = 200
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -96,8 +98,10 @@ def suffix_arrays(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.
         more = at > base
         at, base = low[sa[at[more] - 1]], base[more]
     # emission
-    out = np.full(n, -1, dtype=np.int64)
     fill = low[:n].copy()  # by place: where the group begins
+    if m < FEW:
+        return _emit(fill.tolist(), prev.tolist(), starts.tolist()), fill
+    out = np.full(n, -1, dtype=np.int64)
     nxt = np.arange(n)  # by group: next free place
     done = np.zeros(n + 1, dtype=bool)
     done[-1] = True
@@ -126,6 +130,28 @@ def suffix_arrays(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.
     return out, fill
 
 
+def _emit(fill: list[int], prev: list[int], starts: list[int]) -> np.ndarray:
+    """suffix_arrays()' emission, string by string: faster where few strings could take their steps together."""
+    n = starts[-1]
+    out, nxt, done = [-1] * n, list(range(n)), [False] * n
+    for base, end in zip(starts, starts[1:]):
+        j = end - 1
+        for read in range(base, end):
+            while j >= base and not done[j]:
+                q = fill[j]
+                out[nxt[q]] = j
+                nxt[q] += 1
+                done[j] = True
+                j = prev[j]
+            j = out[read] - 1
+        while j >= base and not done[j]:
+            out[nxt[fill[j]]] = j
+            nxt[fill[j]] += 1
+            done[j] = True
+            j = prev[j]
+    return np.array(out)
+
+
 def shared_prefix(text: np.ndarray, sa: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
     """Whether each place's suffix shares its first `least` symbols with a suffix next to it in its string's order."""
     n = len(text)
