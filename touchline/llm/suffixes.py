@@ -270,28 +270,39 @@ def runs(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, RUN)
 
 
-def split_runs(held: DataFrame, length: int, most: int) -> DataFrame:
-    """Runs of (doc_id, row, text, runs) cut into cells of `most` windows, counted from the anchor; the core is now all that a cell's windows share."""
+def halved(s: np.ndarray, n: np.ndarray, core: np.ndarray, core_len: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(index, s, n, core start, core length) of runs' halves: windows with at least half of their free bytes on the core's left, and the others.
+
+    core counts from the text's start. A half's core is longer by the bytes that all its windows have on that side; equal windows with equal cores at the same place stay in the same half.
+    """
+    free = length - core_len
+    h = (free + 1) // 2
+    edge = core - h  # the last window of the left half
+    left, right = np.minimum(n, edge - s + 1), np.maximum(s, edge + 1)
+    k = np.arange(len(s))
+    a, b = left > 0, right < s + n
+    return tuple(
+        np.concatenate(x)
+        for x in ((k[a], k[b]), (s[a], right[b]), (left[a], (s + n - right)[b]), (edge[a], core[b]), ((core_len + h)[a], (core_len + free - h + 1)[b]))
+    )
+
+
+def split_runs(held: DataFrame, length: int) -> DataFrame:
+    """Runs of (doc_id, row, text, runs) cut in halves, each with a longer core."""
 
     def run(batches):
         for b in batches:
-            got = []
+            got, weights = [], []
             for k, (t, rs) in enumerate(zip(b.column(2), b.column(3).to_pylist())):
-                x = np.frombuffer((t.as_py() or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
-                h = Hashed(x)
-                cell, lo, hi = [], [], []
-                for r in rs:
-                    c = np.arange(r["s"] + r["core"] - -(-r["core"] // most) * most, r["s"] + r["n"], most)
-                    cell.append(c)
-                    lo.append(np.maximum(c, r["s"]))
-                    hi.append(np.minimum(c + most, r["s"] + r["n"]))
-                cell, lo, hi = (np.concatenate(z) for z in (cell, lo, hi))
-                live = lo < hi
-                cell, lo, hi = cell[live], lo[live], hi[live]
-                got.append((k, lo, hi - lo, cell + most - 1, length - most + 1, h.of(cell + most - 1, cell + length), h.of(lo, hi - 1 + length)))
-            yield _runs(b.column(0), b.column(1), got)
+                h = Hashed(np.frombuffer((t.as_py() or "").encode("utf-8", "surrogatepass"), dtype=np.uint8))
+                s, n, core, width, w = (np.array([r[c] for r in rs], dtype=np.int64) for c in ("s", "n", "core", "core_len", "w"))
+                of, s, n, c, width = halved(s, n, s + core, width, length)
+                got.append((k, s, n, c, width, h.of(c, c + width), h.of(s, s + n - 1 + length)))
+                weights.append(w[of])
+            out = _runs(b.column(0), b.column(1), got)
+            yield out.append_column("w", pa.array(np.concatenate(weights) if weights else [], type=pa.int64()))
 
-    return held.mapInArrow(run, RUN)
+    return held.mapInArrow(run, f"{RUN}, w long")
 
 
 # ---- the operator ----
@@ -377,11 +388,11 @@ def repeated(docs: DataFrame, length: int = 400) -> DataFrame:
 
     Windows are routed by their anchors. Equal contexts meet by their hashes (twice 64 bits) and count as one text with a weight: of two or more,
     every window is repeated. Contexts that differ but share a core are compared by suffix arrays; a core with more than GROUP
-    of them is first split into cores of more bytes, down to single windows, so that no group of any size meets in a task.
+    of them is first split: one run of each of its contexts, with the weight, goes on as two with longer cores, down to single windows, so that no group of any size meets in a task.
     """
-    found, now = [], cut(runs(docs, length), "runs")
-    for most in (16, 1, 0):
-        per = now.groupBy("key", "ctx").agg(F.count("*").alias("w"), F.min(F.struct("doc_id", "row", "s", "n", "core", "core_len")).alias("r"))
+    found, now = [], cut(runs(docs, length).withColumn("w", F.lit(1).cast("long")), "runs")
+    while True:
+        per = now.groupBy("key", "ctx").agg(F.sum("w").alias("w"), F.min(F.struct("doc_id", "row", "s", "n", "core", "core_len")).alias("r"))
         keys = per.groupBy("key").agg(F.sum("w").alias("total"), F.count("*").alias("kinds"), F.min("w").alias("least")).where("total > 1")
         cand = cut(per.join(keys, "key").select("key", "ctx", "w", "kinds", "least", "r.*"), "candidates")
         whole = cand.where("w > 1").select("key", "ctx", F.lit(0).alias("a"), F.col("n").alias("b"))
@@ -390,11 +401,11 @@ def repeated(docs: DataFrame, length: int = 400) -> DataFrame:
         apart = cut(sorted_hits(contexts(with_text(docs, small), length).dropDuplicates(["key", "ctx"]), length), "apart")
         hits = whole.unionByName(apart)
         found.append(now.join(hits, ["key", "ctx"]).select("doc_id", "row", (F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b") - 1 + length).alias("b")))
-        hot = mixed.where(F.col("kinds") > GROUP).select("key").distinct()
-        if not most or hot.isEmpty():
+        # a context of a weight over 1 is a hit as a whole: where its copies lie needs no further look
+        hot = mixed.where(F.col("kinds") > GROUP).select("doc_id", "row", "s", "n", "core", "core_len", "w")
+        if hot.isEmpty():
             break
-        left = now.join(hot, "key").select("doc_id", "row", "s", "n", "core").distinct()
-        now = cut(split_runs(with_text(docs, left), length, most), "runs")
+        now = cut(split_runs(with_text(docs, hot), length), "runs")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
