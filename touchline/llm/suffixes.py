@@ -319,18 +319,18 @@ def with_text(docs: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def contexts(held: DataFrame, length: int) -> DataFrame:
-    """(key, ctx, w, core, core_len, n, bytes) of the runs held."""
+    """(key, ctx, kinds, core, core_len, n, bytes) of the runs held."""
 
     def run(batches):
         for b in batches:
             rows = []
             for t, rs in zip(b.column(2), b.column(3).to_pylist()):
                 x = (t.as_py() or "").encode("utf-8", "surrogatepass")
-                rows += [(r["key"], r["ctx"], r["w"], r["core"], r["core_len"], r["n"], x[r["s"] : r["s"] + r["n"] - 1 + length]) for r in rs]
+                rows += [(r["key"], r["ctx"], r["kinds"], r["core"], r["core_len"], r["n"], x[r["s"] : r["s"] + r["n"] - 1 + length]) for r in rs]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate(kinds)], names=["key", "ctx", "w", "core", "core_len", "n", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate(kinds)], names=["key", "ctx", "kinds", "core", "core_len", "n", "bytes"])
 
-    return held.mapInArrow(run, "key long, ctx long, w long, core long, core_len int, n int, bytes binary")
+    return held.mapInArrow(run, "key long, ctx long, kinds long, core long, core_len int, n int, bytes binary")
 
 
 def sorted_hits(ctx: DataFrame, length: int) -> DataFrame:
@@ -371,7 +371,7 @@ def sorted_hits(ctx: DataFrame, length: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], type=t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["key", "ctx", "a", "b"])
 
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("key", "ctx", "w", "core", "core_len", "n", "bytes"))):
+            for r in zip(*(b.column(c).to_pylist() for c in ("key", "ctx", "kinds", "core", "core_len", "n", "bytes"))):
                 if total >= SYMBOLS and held[-1][0] != r[0]:
                     yield flush(held)
                     held, total = [], 0
@@ -380,7 +380,8 @@ def sorted_hits(ctx: DataFrame, length: int) -> DataFrame:
         if held:
             yield flush(held)
 
-    return ctx.repartition("key").sortWithinPartitions("key", "ctx").mapInArrow(run, "key long, ctx long, a int, b int")
+    # strings of like sizes take their steps together
+    return ctx.repartition("key").sortWithinPartitions("kinds", "key", "ctx").mapInArrow(run, "key long, ctx long, a int, b int")
 
 
 def repeated(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -397,7 +398,7 @@ def repeated(docs: DataFrame, length: int = 400) -> DataFrame:
         cand = cut(per.join(keys, "key").select("key", "ctx", "w", "kinds", "least", "r.*"), "candidates")
         whole = cand.where("w > 1").select("key", "ctx", F.lit(0).alias("a"), F.col("n").alias("b"))
         mixed = cand.where("kinds > 1 and least = 1")
-        small = mixed.where(F.col("kinds") <= GROUP).drop("kinds", "least")
+        small = mixed.where(F.col("kinds") <= GROUP).drop("w", "least")
         apart = cut(sorted_hits(contexts(with_text(docs, small), length).dropDuplicates(["key", "ctx"]), length), "apart")
         hits = whole.unionByName(apart)
         found.append(now.join(hits, ["key", "ctx"]).select("doc_id", "row", (F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b") - 1 + length).alias("b")))
