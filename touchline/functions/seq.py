@@ -69,6 +69,20 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: st
     return out.select(*cols, F.col("_p.t").alias(f"{value}_at"), F.col("_p.v").alias(value))
 
 
+def between_keys(left: DataFrame, right: DataFrame, keys: list[str], at: str, values: str) -> DataFrame:
+    """left with right's array of doubles, linear between the two rows of right around each row; beyond the first and the last one it is held, and null where a key has none."""
+    rows = left.withColumn("_r", F.lit(1)).unionByName(right.select(*keys, at, values).withColumn("_r", F.lit(0)), allowMissingColumns=True)
+    mine = F.when(F.col("_r") == 0, F.struct(F.col(at).alias("t"), F.col(values).alias("v")))
+    w = Window.partitionBy(*keys).orderBy(at, "_r").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*keys).orderBy(F.col(at).desc(), "_r").rowsBetween(Window.unboundedPreceding, 0)
+    b, f = F.col("_b"), F.col("_f")
+    part = (F.col(at) - b["t"]) / (f["t"] - b["t"])
+    lerp = F.zip_with(b["v"], f["v"], lambda p, q: p + (q - p) * part)
+    pick = F.when(b.isNull(), f["v"]).when(f.isNull() | (f["t"] == b["t"]), b["v"]).otherwise(lerp)
+    out = rows.withColumn("_b", F.last(mine, True).over(w)).withColumn("_f", F.last(mine, True).over(ahead)).where("_r = 1")
+    return out.select(*[c for c in left.columns if c != values], pick.alias(values))
+
+
 def suppress(items: Column, distance: int) -> Column:
     """Greedy choice along an array of structs with field `frame`, in its order: an item stays if no chosen one is nearer than `distance`."""
     none = F.filter(items, lambda x: F.lit(False))

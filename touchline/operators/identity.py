@@ -31,6 +31,14 @@ def majority(rows: DataFrame, key: str, mode: str, order: str) -> DataFrame:
     )
 
 
+def quality(det: DataFrame) -> DataFrame:
+    """Per id the number of frames that hold it more than once, the first and last of them, and the longest step between its frames."""
+    per = det.groupBy("gid", "frame").agg(F.count("*").alias("c"))
+    per = per.withColumn("gap", F.col("frame") - F.lag("frame").over(Window.partitionBy("gid").orderBy("frame")))
+    twice = F.when(F.col("c") > 1, F.col("frame"))
+    return per.groupBy("gid").agg(F.count(twice).alias("collisions"), F.min(twice).alias("first_collision"), F.max(twice).alias("last_collision"), F.coalesce(F.max("gap"), F.lit(0)).alias("max_gap"))
+
+
 def switches(rows: DataFrame, key: str, frame: str, mode: str, span: int, least: int, purity: float) -> DataFrame:
     """Cuts where the majority of `span` rows before differs from that of as many after, both pure enough; of neighbouring cuts between the same modes the first.
 

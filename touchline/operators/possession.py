@@ -77,6 +77,13 @@ def team_summary(ps: DataFrame) -> DataFrame:
     return ps.groupBy(F.col("from_team").alias("team")).agg(F.count("*").alias("passes"), F.round(F.sum(d).cast("double"), 3).alias("total_m"), F.round(F.sum(d).cast("double") / F.count("*"), 3).alias("mean_m"))
 
 
+def team_overview(iv: DataFrame, teams: DataFrame, ps: DataFrame) -> DataFrame:
+    """Per team: ids, frames, share of all teams' frames, passes. The window spans one row per team."""
+    t = iv.join(teams, "gid", "left").fillna("unassigned", ["team"]).groupBy("team").agg(F.count_distinct("gid").alias("ids"), F.sum("n").alias("frames"))
+    t = t.withColumn("share", F.round(F.col("frames") / F.sum("frames").over(Window.partitionBy()), 4))
+    return t.join(ps.groupBy(F.col("from_team").alias("team")).agg(F.count("*").alias("passes")), "team", "left").fillna(0, ["passes"])
+
+
 def matrix(ps: DataFrame) -> DataFrame:
     return ps.groupBy(F.col("from_team").alias("team"), "from_gid", "to_gid").agg(F.count("*").alias("n"))
 

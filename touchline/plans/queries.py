@@ -2,36 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.functions import geom, seq
 from touchline.operators import events, identity, possession, running, tracks, views
 from touchline.streaming import windows
 
-from .views import Views, sql
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None, *needs: str):
-    """Registers f(Views) under its name with the DuckDB statement that gives the same rows."""
-
-    def register(f: Callable[[Views], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Views(spark, sf_dir))
-        if oracle:
-            ORACLES[f.__name__] = sql(oracle, *needs)
-        return f
-
-    return register
-
-
-def rnd(c: str | Column, d: int = 6) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, d)
+from . import attribute_queries  # noqa: F401  registers its queries
+from .registry import ORACLES, QUERIES, query, rnd  # noqa: F401
 
 
 # ---- tracks ----
