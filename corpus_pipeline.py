@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm import decontaminate, packing, pii, simhash, toxicity
-from touchline.llm.common import new_path, read, sized, tokenizer_path
+from touchline.llm.common import new_path, read, sized, tokenizer_path, unused
 
 #: Five-word shingles; fingerprints link at so many differing bits.
 WORDS, BUDGET = 5, 8
@@ -15,14 +15,16 @@ WORDS, BUDGET = 5, 8
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of an expected severity of REJECT or more go."""
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
-    return toxicity.with_severity(docs, model, name="_severity").where(F.col("_severity") < toxicity.REJECT).drop("_severity")
+    name = unused(docs, "_severity")
+    return toxicity.with_severity(docs, model, name=name).where(F.col(name) < toxicity.REJECT).drop(name)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of the smallest id stays; of rows that repeat an id, all do. Texts without words aren't copies of each other."""
     near = simhash.near_duplicates(docs, words=WORDS, budget=BUDGET)
-    gone = near.where("id <> component_id and fp <> 0").select(F.col("id").alias("_id")).distinct()
-    return docs.join(sized(gone), F.col("doc_id") == F.col("_id"), "left_anti")
+    name = unused(docs, "_id")
+    gone = near.where("id <> component_id and fp <> 0").select(F.col("id").alias(name)).distinct()
+    return docs.join(sized(gone), F.col("doc_id") == F.col(name), "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sized
+from .common import sized, unused
 
 #: Words after A-Z are lower-cased: ASCII letters and digits, and whatever isn't ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -83,11 +83,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, size: int = 10, share: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the documents of which more than `share` of the words lie in benchmark windows; all its columns stay."""
+    gone, row = unused(docs, "_id"), unused(docs, "_row")
     bad = decontaminate(docs, benchmark, size, id_col, text_col).where(F.col("n_hit") > F.col("n_words") * share).select(
-        F.col("id").alias("_id"), F.col("row").alias("_row")
+        F.col("id").alias(gone), F.col("row").alias(row)
     )
     return docs.join(
-        sized(bad), F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_row")), "left_anti"
+        sized(bad), F.col(id_col).eqNullSafe(F.col(gone)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(row)), "left_anti"
     )
 
 

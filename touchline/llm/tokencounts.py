@@ -48,7 +48,8 @@ class Rollup:
 
     commit(id, deltas) aggregates the deltas first (partial sums before the shuffle, so a source with a third of the rows is
     no hot key) and writes them as folder batch=<id>. The committer's _SUCCESS file makes the batch count; a repeated id
-    that succeeded is left alone, and one that broke off is written anew. Null sources and languages are groups of their own.
+    that succeeded is left alone, and one that broke off is written anew. A compaction remembers the ids that it holds: they
+    stay committed. Null sources and languages are groups of their own.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
@@ -58,34 +59,56 @@ class Rollup:
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
         return hadoop, hadoop.Path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def committed(self) -> list[str]:
+    def _names(self, folder: str) -> list[str]:
+        hadoop, fs = self._fs()
+        at = hadoop.Path(folder)
+        return [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+
+    def _done(self, batch: str) -> bool:
         hadoop, fs = self._fs()
-        root = hadoop.Path(self.path)
-        found = [x.getPath() for x in fs.listStatus(root)] if fs.exists(root) else []
-        return sorted(p.toString() for p in found if fs.exists(hadoop.Path(p, "_SUCCESS")))
+        return fs.exists(hadoop.Path(f"{self.path}/batch={batch}/_SUCCESS"))
+
+    def held(self) -> set[str]:
+        """Ids of the batches that a finished compaction holds."""
+        return {b for c in self._names(f"{self.path}/_in") if self._done(c) for b in self._names(f"{self.path}/_in/{c}")}
+
+    def committed(self) -> list[str]:
+        """Ids of the batches whose folders count."""
+        found = [n.removeprefix("batch=") for n in self._names(self.path) if n.startswith("batch=")]
+        held = self.held()
+        return sorted(b for b in found if b not in held and self._done(b))
 
     def commit(self, batch: str, deltas: DataFrame) -> bool:
         """Whether the batch was new."""
-        at = f"{self.path}/batch={batch}"
-        hadoop, fs = self._fs()
-        if fs.exists(hadoop.Path(at, "_SUCCESS")):
+        if self._done(batch) or batch in self.held():
             return False
-        deltas.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in ("n_docs", "n_tokens", "n_chars")]).write.mode("overwrite").parquet(at)
+        deltas.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in ("n_docs", "n_tokens", "n_chars")]).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
         return True
 
+    def _sum(self, batches: list[str]) -> DataFrame:
+        rows = self.spark.read.schema(SCHEMA).parquet(*[f"{self.path}/batch={b}" for b in batches]) if batches else self.spark.createDataFrame([], SCHEMA)
+        return rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in ("n_docs", "n_tokens", "n_chars")]).where("n_docs <> 0 or n_tokens <> 0")
+
     def totals(self) -> DataFrame:
         """Groups whose documents were all deleted are left out."""
-        paths = self.committed()
-        rows = self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
-        return rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in ("n_docs", "n_tokens", "n_chars")]).where("n_docs <> 0 or n_tokens <> 0")
+        return self._sum(self.committed())
 
-    def compact(self, name: str) -> None:
-        """Writes the totals so far as one batch, then drops the batches that it holds."""
-        old = self.committed()
-        self.commit(name, self.totals())
+    def compact(self, name: str) -> bool:
+        """Writes the totals so far as one batch in place of those that it holds; whether the name was new.
+
+        What it holds is noted before, and counts from when the batch is done: a compaction that breaks off at any time counts nothing twice.
+        """
         hadoop, fs = self._fs()
-        for p in old:
-            fs.delete(hadoop.Path(p), True)
+        old, held = self.committed(), self.held()
+        if name in held or self._done(name):
+            return False
+        fs.delete(hadoop.Path(f"{self.path}/_in/{name}"), True)
+        for b in held.union(old):
+            fs.mkdirs(hadoop.Path(f"{self.path}/_in/{name}/{b}"))
+        self.commit(name, self._sum(old))
+        for b in old:
+            fs.delete(hadoop.Path(f"{self.path}/batch={b}"), True)
+        return True
 
 
 def op5_token_counts(docs: DataFrame, path: str | None = None, version: str = "byte_bpe_50k") -> DataFrame:
