@@ -1,0 +1,153 @@
+"""Near copies by the exact Jaccard similarity of word shingles: a prefix filter finds what may be similar, shared shingles are counted to confirm it."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .common import batched, connected_components, cut, sized
+from .simhash import LOWER
+
+#: Near copies are alike in at least NUM / DEN of their different shingles.
+NUM, DEN = 4, 5
+#: One of so many shingles is counted to rule out most documents before all are.
+PART = 3
+#: Documents of one candidate group that are compared in one task at most; larger groups are split into cells.
+CELL = 256
+
+
+def shingles(text: str | None, words: int, seed: int = 42) -> np.ndarray:
+    """The different XXH64 values of the text's word shingles, ascending, as signed longs; words as for simhash.fingerprint(). No word (or null): none."""
+    w = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+    if not w:
+        return np.empty(0, dtype=np.int64)
+    digest = xxhash.xxh64_intdigest
+    h = [digest(b" ".join(w[k : k + words]), seed) for k in range(max(1, len(w) - words + 1))]
+    return np.unique(np.array(h, dtype=np.uint64).view(np.int64))
+
+
+def shingle_sets(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, sig, n, grams) per row of docs: grams are its n different shingles, sig is the same for equal sets."""
+
+    def run(batches):
+        for b in batches:
+            sets = [shingles(t.as_py(), words) for t in b.column(1)]
+            n = np.array([len(s) for s in sets], dtype=np.int64)
+            grams = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(np.concatenate([np.empty(0, dtype=np.int64), *sets])))
+            sig = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], type=pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), sig, pa.array(n), grams], names=["id", "sig", "n", "grams"])
+
+    return batched(docs).select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "id long, sig binary, n long, grams array<long>")
+
+
+def prefix() -> Column:
+    """So many shingles of the n of a set, any, hold one of each set that is similar enough: all but the least overlap, and one."""
+    return F.expr(f"n - ({NUM} * n + {DEN - 1}) div {DEN} + 1")
+
+
+def not_alone(sets: DataFrame, part: int = 1) -> DataFrame:
+    """(node, n, _alone) of the sets with fewer than prefix() shingles that no other set has; the others have no near copy. Counts one of `part` shingles only."""
+    t = sets.select("node", F.explode("grams").alias("t")).where(F.expr(f"t % {part} = 0"))
+    # the only set of a shingle is the least one: hot shingles shrink before the shuffle, and nothing is joined
+    alone = t.groupBy("t").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("_alone"))
+    return sets.select("node", "n").join(alone, "node", "left").withColumn("_alone", F.coalesce("_alone", F.lit(0))).where(F.col("_alone") < prefix())
+
+
+def candidates(sets: DataFrame) -> DataFrame:
+    """(node, n, grams), distinct sets -> edges (u, v); each pair of near copies lies in one of their components.
+
+    A set's shingles are ordered by the number of sets that hold them, rare ones first, then by hash. Two sets that are similar
+    enough share one of their first prefix() shingles, so that those of each shingle are tied to its least one.
+    """
+    sets = sets.join(sized(cut(not_alone(sets, PART), "maybe").select("node")), "node")
+    few = cut(not_alone(sets), "maybe")
+    sets = sets.join(sized(few.select("node", "_alone")), "node")
+    t = sets.select("node", "n", "_alone", F.explode("grams").alias("t"))
+    held = t.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("c", "t"))
+    first = cut(t.join(held, "t").withColumn("rank", rank).where(F.col("rank") <= prefix() - F.col("_alone")).select("t", "node"), "prefixes")
+    least = first.groupBy("t").agg(F.min("node").alias("v"), F.count("*").alias("c")).where("c > 1")
+    return first.join(least, "t").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+
+
+def confirm(sets: list[np.ndarray], side: np.ndarray, cross: bool) -> list[tuple[int, int]]:
+    """Pairs of similar sets with the components of all such pairs; with cross only pairs of both sides count."""
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    n, side = np.array([len(s) for s in sets])[order], side[order]
+    flat = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)[1]
+    start = np.concatenate(([0], np.cumsum(n)))
+    mark, root, out = np.zeros(int(flat.max()) + 1, dtype=bool), np.arange(len(n)), []
+    for a in range(len(n) - 1):
+        b = np.arange(a + 1, np.searchsorted(n, n[a] * DEN // NUM, "right"))
+        b = b[root[b] != root[a]]
+        if cross:
+            b = b[side[b] != side[a]]
+        if not len(b):
+            continue
+        own = flat[start[a] : start[a + 1]]
+        mark[own] = True
+        off = np.cumsum(n[b]) - n[b]
+        at = np.repeat(start[b] - off, n[b]) + np.arange(int(n[b].sum()))
+        shared = np.add.reduceat(mark[flat[at]], off, dtype=np.int64)
+        mark[own] = False
+        hit = b[(NUM + DEN) * shared >= NUM * (n[a] + n[b])]
+        out += [(int(order[a]), int(order[k])) for k in hit]
+        root[np.isin(root, root[hit])] = root[a]
+    return out
+
+
+def confirmed(sets: DataFrame, comp: DataFrame) -> DataFrame:
+    """(node, n, grams) and their candidate components (id, component_id) -> edges (u, v) with the components of all pairs that are similar enough.
+
+    Components beyond CELL are split into cells by a hash, and each pair of cells is compared in one go.
+    """
+    cells = comp.groupBy("component_id").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"))
+    where = comp.join(cells, "component_id").withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("cells")).cast("int"))
+    where = where.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select(
+        F.col("id").alias("node"), F.col("component_id").alias("c"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        (F.col("own") > F.col("other")).cast("int").alias("side"),
+    )
+
+    def run(batches):
+        key, node, side, grams = None, [], [], []
+
+        def flush():
+            pairs = confirm(grams, np.array(side), key[1] != key[2]) if len(node) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([node[p[k]] for p in pairs], type=pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        for b in batches:
+            keys = zip(*(b.column(x).to_pylist() for x in ("c", "i", "j")))
+            for now, i, s, g in zip(keys, b.column("node").to_pylist(), b.column("side").to_pylist(), b.column("grams")):
+                if now != key:
+                    if node:
+                        yield flush()
+                    key, node, side, grams = now, [], [], []
+                node.append(i)
+                side.append(s)
+                grams.append(g.values.to_numpy())
+        if node:
+            yield flush()
+
+    keys = ["c", "i", "j"]
+    rows = batched(sets).select("node", "grams").join(where, "node").select(*keys, "side", "node", "grams")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "side", "node").mapInArrow(run, "u long, v long")
+
+
+def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, first) for each row of docs with words and an id: `first` is the smallest id that a chain of near copies leads to, itself included.
+
+    Near copies share NUM / DEN of their different shingles or more, by 64-bit hashes. Equal sets are one class, and only classes are compared.
+    """
+    rows = cut(shingle_sets(docs, words, id_col, text_col).where("id is not null and n > 0").withColumn("node", F.monotonically_increasing_id()), "shingles")
+    classes = cut(rows.groupBy("sig").agg(F.min(F.struct("id", "node")).alias("m")).select("sig", "m.id", "m.node"), "classes")
+    sets = rows.select("node", "n", "grams").join(sized(classes.select("node")), "node")
+    comp = cut(connected_components(candidates(sets)), "candidates")
+    sets = sets.join(sized(comp.select(F.col("id").alias("node"))), "node")
+    comp = cut(connected_components(confirmed(sets, comp)).withColumnRenamed("id", "node"), "components")
+    first = classes.join(comp, "node", "left").withColumn("c", F.coalesce("component_id", "node")).select("sig", "id", "c")
+    least = first.groupBy("c").agg(F.min("id").alias("first"))
+    return rows.select("id", "sig").join(first.join(least, "c").select("sig", "first"), "sig").select("id", "first")
