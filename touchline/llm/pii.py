@@ -132,7 +132,7 @@ def normalise(text: str) -> tuple[str, list[int], list[int]]:
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:
-    """(base spans, all spans), each by kind as listed, then start. Spans found in the normalised text come in where no base span of their kind overlaps."""
+    """(base spans, all spans), each by kind as listed, then start. Spans found in the normalised text come in unless they are equal to a base span of their kind or lie in one."""
     base = base_spans(text)
     if not (HINT.search(text) or (not text.isascii() and fold()[1].search(text))):
         return base, base
@@ -140,7 +140,7 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     added = []
     for kind, s, e in base_spans(flat):
         a, b = lo[s], hi[e - 1]
-        if not any(k == kind and a < y and x < b for k, x, y in base):
+        if not any(k == kind and x <= a and b <= y for k, x, y in base):
             added.append((kind, a, b))
     return base, sorted({*base, *added}, key=lambda x: (KINDS.index(x[0]), x[1], x[2])) if added else base
 
