@@ -77,7 +77,7 @@ TOKENS = re.compile(
     re.X | re.I,
 )
 #: What a text with any disguise holds; others aren't transduced.
-HINT = re.compile(rf"[\[({{<]\s*(?:at|@|dot|\.)\s*[\])}}>]|\sdot\s|_(?:at|dot)_|&\#(?:64|46);|&commat;|&period;|%40|\b(?:{WORDS})[\s,-]+(?:{WORDS})[\s,-]+(?:{WORDS})\b", re.I)
+HINT = re.compile(rf"[\[({{<]\s*(?:at|@|dot|\.)\s*[\])}}>]|\sdot\s|_(?:at|dot)_|&\#(?:64|46);|&commat;|&period;|%40|\b(?:{WORDS})[\s,-]+(?:{WORDS})\b", re.I)
 NUMBER = re.compile(WORDS, re.I)
 
 
