@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 
 import corpus_pipeline
-from touchline.llm import nearcopies
+from touchline.llm import nearcopies, simhash
 
 from . import brute
 
@@ -21,7 +21,7 @@ def kept(rows):
     sets = {i: grams(t) for i, t in rows}
     links = [(a, b) for a, b in combinations(sets, 2) if sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
     comp = brute.components(list(sets), links)
-    return sorted(i for i in sets if comp[i] == i)
+    return sorted(i for i in sets if comp[i] == i or not sets[i])
 
 
 def frame(spark, rows):
@@ -56,3 +56,20 @@ def test_all_pairs_at_0_8_are_linked_and_no_others(spark, monkeypatch):
 def test_the_table(spark):
     docs = spark.read.parquet(f"{MORE}/documents.parquet")
     assert stage(spark, docs) == kept([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+
+
+def test_documents_below_0_8_and_wordless_ones_stay(spark):
+    """Fingerprints of few differing bits are no near copies by themselves, and a text of few bits is none of an empty one."""
+    short = next(t for k in range(10_000) if 0 < simhash.fingerprint(t := f"a{k} b c d e f", 5).bit_count() <= corpus_pipeline.BUDGET)
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in rng.integers(0, 5000, 400)]
+    while True:
+        w = list(base)
+        for k in rng.integers(0, 400, 18):
+            w[k] = f"x{rng.integers(0, 10**9)}"
+        if (simhash.fingerprint(" ".join(base), 5) ^ simhash.fingerprint(" ".join(w), 5)).bit_count() <= corpus_pipeline.BUDGET and 5 * len(grams(" ".join(base)) & grams(" ".join(w))) < 4 * len(grams(" ".join(base)) | grams(" ".join(w))):
+            break
+    rows = [(0, ""), (1, None), (2, short), (3, " \t"), (4, " ".join(base)), (5, " ".join(w)), (6, short), (None, short)]
+    assert kept(rows[:-1]) == [0, 1, 2, 3, 4, 5]
+    got = dict(corpus_pipeline.STAGES)["near_dedup"](spark, frame(spark, rows), MORE).select("doc_id").collect()
+    assert {r.doc_id for r in got} == {0, 1, 2, 3, 4, 5, None} and len(got) == 7

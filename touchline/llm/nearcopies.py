@@ -31,17 +31,18 @@ def shingles(text: str | None, words: int, seed: int = 42) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, sig, n, grams) per row of docs: grams are its n different shingles, sig is the same for equal sets."""
+    """(id, sig, key, n, grams) per row of docs: grams are its n different shingles; sig, and 64 bits of it as key, are the same for equal sets."""
 
     def run(batches):
         for b in batches:
             sets = [shingles(t.as_py(), words) for t in b.column(1)]
             n = np.array([len(s) for s in sets], dtype=np.int64)
             grams = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(np.concatenate([np.empty(0, dtype=np.int64), *sets])))
-            sig = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], type=pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), sig, pa.array(n), grams], names=["id", "sig", "n", "grams"])
+            sig = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            key = pa.array([int.from_bytes(s[:8], "little", signed=True) for s in sig], type=pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sig, type=pa.binary()), key, pa.array(n), grams], names=["id", "sig", "key", "n", "grams"])
 
-    return batched(docs).select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "id long, sig binary, n long, grams array<long>")
+    return batched(docs).select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "id long, sig binary, key long, n long, grams array<long>")
 
 
 def prefix() -> Column:
@@ -50,23 +51,25 @@ def prefix() -> Column:
 
 
 def not_alone(sets: DataFrame, part: int = 1) -> DataFrame:
-    """(node, n, _alone) of the sets with fewer than prefix() shingles that no other set has; the others have no near copy. Counts one of `part` shingles only."""
-    t = sets.select("node", F.explode("grams").alias("t")).where(F.expr(f"t % {part} = 0"))
-    # the only set of a shingle is the least one: hot shingles shrink before the shuffle, and nothing is joined
-    alone = t.groupBy("t").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("_alone"))
-    return sets.select("node", "n").join(alone, "node", "left").withColumn("_alone", F.coalesce("_alone", F.lit(0))).where(F.col("_alone") < prefix())
+    """(key, n, _alone) of the sets with fewer than prefix() shingles that no other set has; the others have no near copy. Counts one of `part` shingles only.
+
+    Rows of the same key hold the same set.
+    """
+    t = sets.select("key", F.explode("grams").alias("t")).where(F.expr(f"t % {part} = 0"))
+    # hot shingles shrink before the shuffle, and no set is moved
+    alone = t.groupBy("t").agg(F.min("key").alias("key"), F.max("key").alias("other")).where("key = other").groupBy("key").agg(F.count("*").alias("_alone"))
+    n = sets.groupBy("key").agg(F.min("n").alias("n"))
+    return n.join(alone, "key", "left").withColumn("_alone", F.coalesce("_alone", F.lit(0))).where(F.col("_alone") < prefix())
 
 
 def candidates(sets: DataFrame) -> DataFrame:
-    """(node, n, grams), distinct sets -> edges (u, v); each pair of near copies lies in one of their components.
+    """(node, key, n, grams), distinct sets -> edges (u, v); each pair of near copies lies in one of their components.
 
     A set's shingles are ordered by the number of sets that hold them, rare ones first, then by hash. Two sets that are similar
     enough share one of their first prefix() shingles, so that those of each shingle are tied to its least one.
     """
-    sets = sets.join(sized(cut(not_alone(sets, PART), "maybe").select("node")), "node")
-    few = cut(not_alone(sets), "maybe")
-    sets = sets.join(sized(few.select("node", "_alone")), "node")
-    t = sets.select("node", "n", "_alone", F.explode("grams").alias("t"))
+    few = cut(not_alone(sets), "few")
+    t = sets.join(sized(few.select("key", "_alone")), "key").select("node", "n", "_alone", F.explode("grams").alias("t"))
     held = t.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
     rank = F.row_number().over(Window.partitionBy("node").orderBy("c", "t"))
     first = cut(t.join(held, "t").withColumn("rank", rank).where(F.col("rank") <= prefix() - F.col("_alone")).select("t", "node"), "prefixes")
@@ -144,9 +147,12 @@ def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
     """
     rows = cut(shingle_sets(docs, words, id_col, text_col).where("id is not null and n > 0").withColumn("node", F.monotonically_increasing_id()), "shingles")
     classes = cut(rows.groupBy("sig").agg(F.min(F.struct("id", "node")).alias("m")).select("sig", "m.id", "m.node"), "classes")
-    sets = rows.select("node", "n", "grams").join(sized(classes.select("node")), "node")
+    maybe = cut(not_alone(rows, PART).select("key"), "maybe")
+    nodes = cut(classes.join(rows.select("node", "key"), "node").join(sized(maybe), "key", "left_semi").select("node"), "nodes")
+    # the sets are moved here only, and only once
+    sets = cut(rows.select("node", "key", "n", "grams").join(sized(nodes), "node", "left_semi"), "sets")
     comp = cut(connected_components(candidates(sets)), "candidates")
-    sets = sets.join(sized(comp.select(F.col("id").alias("node"))), "node")
+    sets = sets.join(sized(comp.select(F.col("id").alias("node"))), "node", "left_semi")
     comp = cut(connected_components(confirmed(sets, comp)).withColumnRenamed("id", "node"), "components")
     first = classes.join(comp, "node", "left").withColumn("c", F.coalesce("component_id", "node")).select("sig", "id", "c")
     least = first.groupBy("c").agg(F.min("id").alias("first"))
