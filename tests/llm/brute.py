@@ -39,6 +39,27 @@ def simhash_components(docs, words=4, budget=4):
     return fp, components(ids, links)
 
 
+def shingle_set(text, words=5):
+    w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return {b" ".join(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
+
+
+def similar(a, b):
+    return bool(a and b) and 5 * len(a & b) >= 4 * len(a | b)
+
+
+def one_of_each(docs):
+    """Ids that stay if each component of pairs of a similarity of 0.8 or more keeps its least id; wordless texts stay."""
+    sets = {i: shingle_set(t) for i, t in docs}
+    at = defaultdict(list)
+    for i, s in sets.items():
+        for g in s:
+            at[g].append(i)
+    pairs = {(a, b) for i in at.values() for k, b in enumerate(i) for a in i[:k]}
+    comp = components(list(sets), [(a, b) for a, b in pairs if similar(sets[a], sets[b])])
+    return sorted(i for i in sets if comp[i] == i or not sets[i])
+
+
 def decontaminated(docs, items, size=10):
     def words(t):
         low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")

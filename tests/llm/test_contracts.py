@@ -51,7 +51,7 @@ def case(request, docs, texts, odd):
 
 
 def test_simhash(case, monkeypatch):
-    monkeypatch.setattr(simhash, "CELL", 8)
+    monkeypatch.setattr(simhash, "CELL", 2)
     df, rows = case
     fp, comp = brute.simhash_components(rows)
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op2_simhash(df).collect()}
@@ -90,6 +90,32 @@ def test_decontaminate(spark, case):
     assert kept == {i for i, x in got.items() if not x[4]}
 
 
+def test_decontaminate_without_a_broadcast(spark, odd, monkeypatch):
+    """Hashes beyond the bound are shuffled, and the result is the same."""
+    items = [(1, "One two three"), (2, odd_texts()[9][1]), (3, "é é"), (None, "one")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = decontaminate.op3_decontaminate(odd, bench).collect()
+    monkeypatch.setattr(decontaminate, "HASHES", 1)
+    got = decontaminate.op3_decontaminate(odd.union(odd.where("doc_id < 3")), bench).collect()
+    assert sorted(got) == sorted(want + [r for r in want if r.doc_id < 3]) and any(r.n_hit for r in want)
+
+
+def test_oracle_sql(spark, docs):
+    """The subpackage's statements, run by DuckDB on the same tables."""
+    import duckdb
+
+    from touchline.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    for name, sql in queries.oracle_sql().items():
+        rel = con.execute(sql)
+        names = [c[0] for c in rel.description]
+        got = sorted(map(tuple, queries.queries()[name](spark, SF).select(*names).collect()))
+        assert got == sorted(rel.fetchall()), name
+
+
 def test_decontaminate_without_items(spark, odd):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.op3_decontaminate(odd, bench).where("n_hit > 0").count() == 0
@@ -166,6 +192,16 @@ def test_ledger_scans_only_what_is_new(spark, odd):
     assert newer.scan(odd).groupBy("version").count().count() == 2
 
 
+def test_ledger_names_every_path(spark, odd):
+    """Paths of one blob, of null ids too, all get its findings; columns of the ledger's helper names stay."""
+    text = "token=abcdef0 x"
+    df = spark.createDataFrame([(1, text, 5), (1, text, 6), (None, text, 7), (4, None, 8)], "doc_id long, text string, _blob long")
+    ledger = secrets.Ledger(spark)
+    assert ledger.scan(df).count() == 2
+    out = ledger.report(df.withColumn("blob", secrets.blob(F.col("text")))).collect()
+    assert sorted((r["_blob"], len(r.spans)) for r in out) == [(5, 1), (6, 1), (7, 1), (8, 0)]
+
+
 def test_packing(case):
     df, rows = case
     encode = encoder(tokenizer_path())
@@ -225,4 +261,4 @@ def test_rows_without_id(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e"), (1, "a b c d e"), (1, "a b c d e")], "doc_id long, text string")
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in simhash.op2_simhash(df).collect()) == [(-1, -1), (-1, -1), (1, 1), (1, 1)]
     assert suffixes.op6_suffixes(df).count() == 4 and secrets.op10_secrets(df).count() == 4 and packing.op9_packing(df).count() == 4
-    assert decontaminate.op3_decontaminate(df, df.select(F.col("doc_id").alias("item_id"), "text")).count() == 2
+    assert decontaminate.op3_decontaminate(df, df.select(F.col("doc_id").alias("item_id"), "text")).count() == 4

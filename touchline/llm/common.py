@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
-import base64
+import re
 import tempfile
 import uuid
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side is broadcast only if its measured size is at most this.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast only if it has at most so many rows and bytes, as counted.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+#: Edges of one node that meet in one task at most, beyond what is broadcast.
+HUB = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where it is unset."""
+    """spark.checkpoint.dir of the session; where it is unset, a folder of our own in local mode, and an error on a cluster."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("touchline.shared.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="touchline-")
         spark.conf.set("touchline.shared.dir", base)
     return base.rstrip("/")
@@ -55,32 +60,68 @@ def batched(docs: DataFrame, rows: int = 1000) -> DataFrame:
     return docs
 
 
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows (counted here), else as it is: then Spark shuffles both sides."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def width(col: Column, kind: T.DataType) -> Column:
+    """Bytes that a value takes, about."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(col), F.lit(0)) + 8
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.NumericType, T.BooleanType)):
+            return F.coalesce(F.greatest(F.size(col), F.lit(0)), F.lit(0)) * 8 + 16
+        return F.coalesce(F.aggregate(col, F.lit(16), lambda a, x: a + width(x, kind.elementType).cast("int")), F.lit(16))
+    if isinstance(kind, T.StructType):
+        out = F.lit(8)
+        for f in kind.fields:
+            out = out + width(col[f.name], f.dataType)
+        return out
+    return F.lit(8)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether df has at most so many rows and bytes, counted here."""
+    each = F.lit(16).cast("long")
+    for f in df.schema.fields:
+        each = each + width(F.col(f"`{f.name}`"), f.dataType)
+    n, b = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(each), F.lit(0))).first()
+    return n <= rows and b <= size
+
+
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it is small(), else as it is: then Spark shuffles both sides."""
+    return F.broadcast(df) if small(df, rows, size) else df
+
+
+def _with_least(edges: DataFrame, low: DataFrame, n: int) -> DataFrame:
+    """edges (u, v) with low's m of their u. low (u, m, c) counts each u's edges: with few edges it is broadcast; else hubs are, so that no hub's edges meet in one task."""
+    if n <= BROADCAST_ROWS:
+        return edges.join(F.broadcast(low.drop("c")), "u")
+    hubs = cut(low.where(F.col("c") > HUB).drop("c"), "hubs")
+    if hubs.isEmpty() or not small(hubs):
+        return edges.join(low.drop("c"), "u")
+    rest = edges.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(low.drop("c"), "u")
+    return rest.unionByName(edges.join(F.broadcast(hubs), "u"))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(u, v) pairs of longs -> (id, component_id), component_id being the smallest id reachable.
 
-    Alternating large-star and small-star rounds; each is a group-by and a join, so that no node's
-    neighbours ever meet in one row. Nodes without edges aren't returned.
+    Alternating large-star and small-star rounds; each is a group-by with partial minima and a join (see _with_least()), so that
+    no node's neighbours ever meet in one row or task. Nodes without edges aren't returned.
     """
     e = cut(
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges"
     )
-    seen = None
+    n, seen = e.count(), None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c")
+        large = _with_least(both, low, n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+        least = _with_least(large, low, n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = cut(least.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             break
-        seen = now
+        n, seen = now[0], now
     star = e.groupBy("u").agg(F.min("v").alias("component_id")).withColumnRenamed("u", "id")
     return star.unionByName(star.select(F.col("component_id").alias("id"), "component_id").distinct())
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sized, unused
+from .common import cut, sized, small, unused
 
 #: Words after A-Z are lower-cased: ASCII letters and digits, and whatever isn't ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -38,33 +38,59 @@ def windows(benchmark: DataFrame, size: int = 10, item_col: str = "item_id", tex
     )
 
 
+#: Distinct window hashes, 16 bytes each in the broadcast set, and their bytes, up to which all are broadcast.
+HASHES, HASH_BYTES = 2_000_000, 64 << 20
+
+
+def candidates(docs: DataFrame, h: DataFrame, lens: list[int], id_col: str, text_col: str) -> DataFrame:
+    """(id, row, at, n, key, gram): word windows of docs whose hash is among h's, and for each row of docs one with key null and its word count as `at`.
+
+    `row` hashes the text. The hashes are broadcast as a plain set if their counted size allows, and each window's words are taken for hits only. Beyond that,
+    windows are shuffled by their hash without any words, and the documents with hits are cut into words once more.
+    """
+    text = F.col(text_col).cast("string")
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("row"), words(text).alias("w"))
+    at = base.select("*", F.explode(F.sequence(F.lit(0), F.size("w"))).alias("at"))
+    at = at.select("*", F.explode(F.array(*[F.lit(n) for n in lens])).alias("n")) if len(lens) > 1 else at.withColumn("n", F.lit(lens[0]))
+    gram = F.slice("w", F.col("at") + 1, F.col("n"))
+    at = at.withColumn("key", F.when(F.col("at") + F.col("n") <= F.size("w"), F.xxhash64(gram)))
+    end = (F.col("at") == F.size("w")) & (F.col("n") == lens[0])
+    cols = ["id", "row", "at", "n", F.col("h").alias("key")]
+    if small(h, HASHES, HASH_BYTES):
+        found = at.join(F.broadcast(h), F.col("key") == F.col("h"), "left").where(F.col("h").isNotNull() | end)
+        return found.select(*cols, F.when(F.col("h").isNotNull(), gram).alias("gram"))
+    ends = base.select("id", "row", F.size("w").alias("at"), F.lit(lens[0]).alias("n"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("array<string>").alias("gram"))
+    found = cut(at.where("key is not null").drop("w").join(h, F.col("key") == F.col("h")).select(*cols).distinct(), "hits")
+    per = found.groupBy("id", "row").agg(F.collect_list(F.struct("at", "n", "key")).alias("hits"))
+    i, r = F.col("p.id"), F.col("p.row")
+    held = base.dropDuplicates(["id", "row"]).alias("b").join(per.alias("p"), F.col("b.id").eqNullSafe(i) & (F.col("b.row") == r))
+    again = held.select("b.id", "b.row", "b.w", F.explode("p.hits").alias("x")).select("id", "row", "x.*", F.slice("w", F.col("x.at") + 1, F.col("x.n")).alias("gram"))
+    return ends.unionByName(again)
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, row, at, len, items): a row for each verified occurrence, and for each document one with items null and its word count as `at`.
+    """(id, row, at, len, items): a row for each verified occurrence, and for each row of docs one with items null and its word count as `at`.
 
-    Every token window is hashed and looked up; a match counts if the words are equal, too. The window table is
-    broadcast if its counted size allows, and joined by hash otherwise. `row` tells rows of the same id apart.
+    Every token window's hash is looked up (see candidates()); a hit counts if the words are equal, too.
     """
-    grams = windows(benchmark, size).cache()
+    grams = cut(windows(benchmark, size), "windows")
     lens = [r[0] for r in grams.select("len").distinct().orderBy("len").limit(size).collect()]  # at most `size` numbers
-    text = F.col(text_col).cast("string")
-    at = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("row"), words(text).alias("w"))
-    at = at.select("id", "row", "w", F.explode(F.sequence(F.lit(0), F.size("w"))).alias("at"))
-    at = at.select("*", F.explode(F.array(*[F.lit(n) for n in lens])).alias("n")) if len(lens) > 1 else at.withColumn("n", F.lit((lens or [size])[0]))
-    at = at.withColumn("key", F.when(F.col("at") + F.col("n") <= F.size("w"), F.xxhash64(F.slice("w", F.col("at") + 1, F.col("n")))))
-    found = at.join(sized(grams), (F.col("key") == F.col("h")) & (F.col("n") == F.col("len")) & (F.slice("w", F.col("at") + 1, F.col("n")) == F.col("gram")), "left")
-    end = (F.col("at") == F.size("w")) & (F.col("n") == (lens or [size])[0])
-    return found.where(F.col("items").isNotNull() | end).select("id", "row", "at", "len", "items")
+    at = candidates(docs, grams.select("h").distinct(), lens or [size], id_col, text_col)
+    same = (F.col("key") == F.col("h")) & (F.col("n") == F.col("len")) & (at["gram"] == grams["gram"])
+    found = at.join(sized(grams), same, "left").where(F.col("key").isNull() | F.col("items").isNotNull())
+    return found.select("id", "row", "at", "len", "items")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, row, n_words, spans, n_hit, items) per distinct (id, text): spans are the maximal hit runs of words, [start, end).
+    """(id, row, n_words, spans, n_hit, items) for each row of docs: spans are the maximal hit runs of words, [start, end).
 
-    Null and empty texts have no words. Items of no word have no window. Repeated rows count as one.
+    Null and empty texts have no words. Items of no word have no window, and null item ids are left out of `items`. Rows that repeat id and text are worked on as one and returned each.
     """
     h = hits(docs, benchmark, size, id_col, text_col)
     key = ["id", "row"]
     per = h.groupBy(*key).agg(
         F.max(F.when(F.col("items").isNull(), F.col("at"))).cast("long").alias("n_words"),
+        F.count(F.when(F.col("items").isNull(), 1)).cast("int").alias("times"),
         F.array_sort(F.collect_set(F.when(F.col("items").isNotNull(), F.struct(F.col("at").alias("s"), (F.col("at") + F.col("len")).alias("e"))))).alias("runs"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
@@ -78,7 +104,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
 
     spans = F.aggregate("runs", F.array().cast(span), merge)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])
-    return per.withColumn("spans", spans).select(*key, "n_words", "spans", n_hit.alias("n_hit"), "items")
+    out = per.withColumn("spans", spans).select(*key, "n_words", "spans", n_hit.alias("n_hit"), "items", "times")
+    return out.withColumn("times", F.explode(F.array_repeat(F.lit(0), F.col("times")))).drop("times")
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, size: int = 10, share: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -86,13 +113,17 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, size: int = 10, shar
     gone, row = unused(docs, "_id"), unused(docs, "_row")
     bad = decontaminate(docs, benchmark, size, id_col, text_col).where(F.col("n_hit") > F.col("n_words") * share).select(
         F.col("id").alias(gone), F.col("row").alias(row)
-    )
+    ).distinct()
     return docs.join(
         sized(bad), F.col(id_col).eqNullSafe(F.col(gone)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(row)), "left_anti"
     )
 
 
 def op3_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The contract's row per document. A null or empty text has no words and no hits; rows of null or repeated ids are returned each; extra columns are ignored.
+
+    Without benchmark items (an empty table, or none with words) nothing is hit.
+    """
     d = decontaminate(docs, benchmark)
     return d.select(
         F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),

@@ -47,14 +47,14 @@ WITH d AS (
 ), b AS (
   SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
 ), g AS (
-  SELECT DISTINCT item, w[at:at + 9] AS gram FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS at FROM b WHERE len(w) > 0)
+  SELECT DISTINCT item, w[pos:pos + 9] AS gram FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS pos FROM b WHERE len(w) > 0)
 ), k AS (SELECT gram, array_to_string(gram, ' ') AS g, len(gram) AS n, list(item) AS items FROM g GROUP BY gram),
 n AS (SELECT DISTINCT n FROM k),
 t AS (
-  SELECT doc_id, at, n.n, array_to_string(w[at:at + n.n - 1], ' ') AS g
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS at FROM d), n WHERE at + n.n - 1 <= len(w)
-), h AS (SELECT doc_id, at, t.n, items FROM t JOIN k USING (g)),
-c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(at, at + n)) AS p FROM h) GROUP BY doc_id),
+  SELECT doc_id, pos, n.n, array_to_string(w[pos:pos + n.n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS pos FROM d), n WHERE pos + n.n - 1 <= len(w)
+), h AS (SELECT doc_id, pos, t.n, items FROM t JOIN k USING (g)),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS p FROM h) GROUP BY doc_id),
 i AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM (SELECT doc_id, unnest(items) AS item FROM h) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
   sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, unused
 
 ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: (kind, pattern, group whose length counts, least length). The first three are fixed; the others are added spans.
@@ -42,7 +44,7 @@ def spans(text: Column, k: int, pattern: str, group: int, least: int) -> Column:
     return F.aggregate(parts, zero, step, lambda acc: acc["out"])
 
 
-#: A cheap test that every text with a match passes.
+#: A cheap test that every text with a match passes, and for `assign` a second one.
 HINTS = {
     "assign": r"""[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6}""",
     "access": r"AKIA[A-Z0-9]{16}",
@@ -51,19 +53,29 @@ HINTS = {
     "pem": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
     "jwt": r"eyJ[A-Za-z0-9_-]+\.eyJ",
 }
+KEYWORD = r"(?i)(?:passw|secret|token|api_?key)"
+
+
+def hinted(text: Column, name: str) -> Column:
+    return text.rlike(HINTS[name]) & text.rlike(KEYWORD) if name == "assign" else text.rlike(HINTS[name])
 
 
 def findings(text: Column) -> Column:
     """Every rule's spans in one array, by start, then kind as listed."""
-    out = [F.when(text.rlike(HINTS[name]), spans(text, k, pattern, group, least)).otherwise(F.array().cast(SPAN)) for k, (name, pattern, group, least) in enumerate(RULES)]
+    out = [F.when(hinted(text, name), spans(text, k, pattern, group, least)).otherwise(F.array().cast(SPAN)) for k, (name, pattern, group, least) in enumerate(RULES)]
     return F.array_sort(F.concat(*out))
 
 
+def blob(text: Column) -> Column:
+    """A text's address; null texts count as empty."""
+    return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
+
+
 class Ledger:
     """Findings by (blob, rule version) in a Parquet folder. A blob is a text's SHA-256; null texts count as empty.
 
     scan() looks only at pairs that the ledger lacks, and appends them as one new batch folder; a batch that was
-    interrupted leaves no _SUCCESS file and isn't read, so that a repeated scan is safe.
+    interrupted leaves no _SUCCESS file and isn't read, so that a repeated scan is safe. One scan may write at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, version: str = VERSION):
@@ -85,21 +97,23 @@ class Ledger:
 
     def scan(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """Scans what docs holds unseen, and returns the whole ledger."""
-        blobs = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select(F.sha2("text", 256).alias("blob"), "text")
+        text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+        hint = functools.reduce(lambda a, b: a | b, [hinted(F.col("text"), n) for n in HINTS])
+        blobs = docs.select(text.alias("text")).select(blob(F.col("text")).alias("blob"), F.when(hint, F.col("text")).alias("text"))
         known = self.table()
         if known is not None:
             blobs = blobs.join(known.where(F.col("version") == self.version).select("blob").distinct(), "blob", "left_anti")
-        # equal texts meet by their address only: one of each is scanned
-        scanned = blobs.dropDuplicates(["blob"]).select("blob", F.lit(self.version).alias("version"), findings(F.col("text")).alias("spans"))
+        # equal texts meet by their address only: one of each is scanned, and texts without a hint aren't moved
+        scanned = blobs.dropDuplicates(["blob"]).select("blob", F.lit(self.version).alias("version"), F.when(F.col("text").isNotNull(), findings(F.col("text"))).otherwise(F.array().cast(SPAN)).alias("spans"))
         n = len(self._batches())
         scanned.write.mode("overwrite").parquet(f"{self.path}/batch-{n:08d}")
         return self.table()
 
-    def report(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """docs with a column `spans`, by this ledger's rule version: every path that holds a blob gets its findings."""
-        blob = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
-        seen = self.table().where((F.col("version") == self.version) & (F.size("spans") > 0)).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-        return docs.join(seen, blob == F.col("_blob"), "left").withColumn("spans", F.coalesce("_spans", F.array().cast(SPAN))).drop("_blob", "_spans")
+    def report(self, paths: DataFrame, blob_col: str = "blob") -> DataFrame:
+        """paths (rows that name a blob by its address) with a column `spans`, by this ledger's rule version: every path that holds a blob gets its findings."""
+        b, s = unused(paths, "_blob"), unused(paths, "_spans")
+        seen = self.table().where((F.col("version") == self.version) & (F.size("spans") > 0)).select(F.col("blob").alias(b), F.col("spans").alias(s))
+        return paths.join(seen, F.col(blob_col) == F.col(b), "left").withColumn("spans", F.coalesce(s, F.array().cast(SPAN))).drop(b, s)
 
 
 def digest(spans: Column, names: list[str]) -> Column:
@@ -109,10 +123,11 @@ def digest(spans: Column, names: list[str]) -> Column:
 
 
 def op10_secrets(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """The contract's row per document. Null texts count as empty and hold nothing; rows of null or repeated ids are returned each; extra columns are ignored."""
     ledger = Ledger(docs.sparkSession, path)
     ledger.scan(docs)
     names = [r[0] for r in RULES]
-    out = ledger.report(docs.select("doc_id", "text").withColumn("text", F.col("text").cast("string"))).drop("text")
+    out = ledger.report(docs.select("doc_id", blob(F.col("text")).alias("blob")))
     base = F.filter("spans", lambda x: x["k"] < len(BASE))
     kinds = F.transform("spans", lambda x: x["k"])
     count = [(F.size("spans") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{n}") for k, n in enumerate(BASE)]

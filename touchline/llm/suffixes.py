@@ -450,4 +450,6 @@ def deduplicated(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
 
 
 def op6_suffixes(docs: DataFrame) -> DataFrame:
-    return deduplicated(docs, 400).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """The contract's row per document, and whether anything was removed from it. Null texts are empty; rows of null or repeated ids are returned each, and repeated rows are copies of each other; extra columns are ignored."""
+    out = deduplicated(docs, 400)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("repeated"))

@@ -48,7 +48,7 @@ class Rollup:
 
     commit(id, deltas) aggregates the deltas first (partial sums before the shuffle, so a source with a third of the rows is
     no hot key) and writes them as folder batch=<id>. The committer's _SUCCESS file makes the batch count; a repeated id
-    that succeeded is left alone, and one that broke off is written anew. A compaction remembers the ids that it holds: they
+    that succeeded is left alone, and one that broke off is written anew; one writer at a time may commit an id. A compaction remembers the ids that it holds: they
     stay committed. Null sources and languages are groups of their own.
     """
 
@@ -87,7 +87,7 @@ class Rollup:
 
     def _sum(self, batches: list[str]) -> DataFrame:
         rows = self.spark.read.schema(SCHEMA).parquet(*[f"{self.path}/batch={b}" for b in batches]) if batches else self.spark.createDataFrame([], SCHEMA)
-        return rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in ("n_docs", "n_tokens", "n_chars")]).where("n_docs <> 0 or n_tokens <> 0")
+        return rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in ("n_docs", "n_tokens", "n_chars")]).where("n_docs <> 0 or n_tokens <> 0 or n_chars <> 0")
 
     def totals(self) -> DataFrame:
         """Groups whose documents were all deleted are left out."""
@@ -111,7 +111,20 @@ class Rollup:
         return True
 
 
+def declared(docs: DataFrame, version: str) -> DataFrame:
+    """counted()'s columns as the rows themselves declare them, without a look at their texts: n_chars as they say (null: 0), tokens not counted yet."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars"))
+    return rows.select("doc_id", "source", "lang", F.lit(version).alias("tokenizer"), F.lit(0).cast("long").alias("n_tokens"), F.coalesce("n_chars", F.lit(0).cast("long")).alias("n_chars"))
+
+
 def op5_token_counts(docs: DataFrame, path: str | None = None, version: str = "byte_bpe_50k") -> DataFrame:
+    """Documents, tokens and characters by source, language and tokenizer: documents arrive with the counts that they declare, and are revised once their texts are counted.
+
+    Null texts count 0; null sources and languages are groups; rows of null or repeated ids count each; an empty table gives no rows; extra columns are ignored.
+    """
     rollup = Rollup(docs.sparkSession)
-    rollup.commit("documents", inserts(counted(docs, path or tokenizer_path(), version)))
+    arrived = declared(docs, version)
+    rollup.commit("arrivals", inserts(arrived))
+    rollup.commit("counts", revisions(arrived, counted(docs, path or tokenizer_path(), version)))
+    rollup.commit("arrivals", inserts(arrived))  # a repeated delivery changes nothing
     return rollup.totals()
