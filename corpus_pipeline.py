@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import decontaminate, nearcopies, packing, pii, toxicity
-from touchline.llm.common import new_path, read, sized, tokenizer_path, unused
+from touchline.llm import decontaminate, packing, pii, simhash, toxicity
+from touchline.llm.common import new_path, read, tokenizer_path, unused
 
-#: Five-word shingles. BUDGET is of the SimHash links that the near-copy stage had before; only its older test reads it.
-WORDS, BUDGET = 5, 8
+#: Words of a shingle.
+WORDS = 5
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,10 +20,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, which chains of a shingle similarity of 0.8 or more make, the document of the smallest id stays; of rows that repeat an id, all do. Texts without words aren't copies of each other."""
-    name = unused(docs, "_id")
-    gone = nearcopies.near_copies(docs, words=WORDS).where("id <> first").select(F.col("id").alias(name)).distinct()
-    return docs.join(sized(gone), F.col("doc_id") == F.col(name), "left_anti")
+    """Of each group of near copies, which chains of a five-word shingle similarity of 0.8 or more make, one document stays: that of the smallest id. Texts without words aren't copies of each other."""
+    return simhash.one_of_each(docs, words=WORDS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
