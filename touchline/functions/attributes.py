@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -33,7 +34,7 @@ def keyword_kind(text: Column, rules: Sequence[tuple[str, Sequence[str]]] = ACTI
     """The first rule of which a word occurs in the text; the default for none and for null."""
     out = None
     for kind, words in rules:
-        hit = F.coalesce(text.rlike("|".join(words)), F.lit(False))
+        hit = F.coalesce(functools.reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words]), F.lit(False))
         out = F.when(hit, kind) if out is None else out.when(hit, kind)
     return F.lit(default) if out is None else out.otherwise(default)
 

@@ -53,12 +53,13 @@ def range_join(points: DataFrame, spans: DataFrame, at: str, start: str, end: st
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, tolerance: float | None = None) -> DataFrame:
-    """left with the latest earlier and the earliest later row of right, and the nearer of both (the earlier on ties): one sort of the union, no pairs."""
+    """left with the latest earlier and the earliest later row of right, and the nearer of both (the earlier on ties): two running windows over the union, no pairs."""
     rows = left.withColumn("_r", F.lit(1)).unionByName(right.select(*keys, at, value).withColumn("_r", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(at, "_r")
+    w = Window.partitionBy(*keys).orderBy(at, "_r").rowsBetween(Window.unboundedPreceding, 0)
     mine = F.when(F.col("_r") == 0, F.struct(F.col(at).alias("t"), F.col(value).alias("v")))
-    back = F.last(mine, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    fore = F.first(mine, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    back = F.last(mine, True).over(w)
+    ahead = Window.partitionBy(*keys).orderBy(F.col(at).desc(), "_r").rowsBetween(Window.unboundedPreceding, 0)
+    fore = F.last(mine, True).over(ahead)
     out = rows.withColumn("_b", back).withColumn("_f", fore).where("_r = 1")
     db, df_ = F.col(at) - F.col("_b.t"), F.col("_f.t") - F.col(at)
     pick = F.when(df_.isNull() | (db <= df_), F.col("_b")).otherwise(F.col("_f"))
@@ -92,4 +93,36 @@ def suppress(items: Column, distance: int) -> Column:
 def round_robin(df: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
     """The first n rows taken by turns from the groups, each group's best first."""
     rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return df.withColumn("_k", rank).orderBy("_k", group).limit(n).drop("_k")
+    return df.withColumn("_k", rank).where(F.col("_k") <= n).orderBy("_k", group).limit(n).drop("_k")
+
+
+def box_sum(df: DataFrame, frame: str, value: str, radius: int) -> DataFrame:
+    """(frame, value): sums over 2 * radius + 1 frames of a sparse signal, missing ones counting 0. Each value goes to the frames that it reaches, so that no window spans the table."""
+    near = F.explode(F.sequence(F.col(frame) - radius, F.col(frame) + radius))
+    return df.select(near.alias(frame), value).groupBy(frame).agg(F.sum(F.col(value).cast("decimal(28,9)")).cast("double").alias(value))
+
+
+def nearest(left: DataFrame, right: DataFrame, at: str, tolerance: int, prefix: str = "near_") -> DataFrame:
+    """left with the nearest row of right within the tolerance, the earlier on ties, null where there is none: an equi-join on buckets as wide as the tolerance, each row of right in three of them."""
+    r = right.select(F.struct(*right.columns).alias("_s"), F.col(at).alias("_at"))
+    b = F.floor(F.col("_at") / tolerance)
+    r = r.withColumn("_b", F.explode(F.array(b - 1, b, b + 1)))
+    found = left.withColumn("_b", F.floor(F.col(at) / tolerance)).join(r, "_b").where(F.abs(F.col("_at") - F.col(at)) <= tolerance)
+    best = found.groupBy(at).agg(F.min(F.struct(F.abs(F.col("_at") - F.col(at)).alias("d"), "_at", "_s")).alias("_m"))
+    return left.join(best, at, "left").select(*left.columns, *[F.col(f"_m._s.{c}").alias(prefix + c) for c in right.columns])
+
+
+def fill_all(df: DataFrame, keys: list[str], frame: str, values: list[str], margin: int, most: int) -> DataFrame:
+    """Each key's frames from its first less margin to its last plus margin: linear between observed ones, held at the ends; `reliable` where observed or between two that are at most `most` apart."""
+    w = Window.partitionBy(*keys).orderBy(frame)
+    t = df.withColumn("_to", F.lead(frame).over(w)).withColumn("_from", F.lag(frame).over(w))
+    for v in values:
+        t = t.withColumn(f"_{v}", F.lead(v).over(w))
+    low = F.when(F.col("_from").isNull(), F.col(frame) - margin).otherwise(F.col(frame))
+    high = F.when(F.col("_to").isNull(), F.col(frame) + margin).otherwise(F.col("_to") - 1)
+    t = t.withColumn("_at", F.explode(F.sequence(low, high)))
+    part = (F.col("_at") - F.col(frame)) / (F.col("_to") - F.col(frame))
+    ahead = (F.col("_at") > F.col(frame)) & F.col("_to").isNotNull()
+    cols = [F.when(ahead, F.col(v) + (F.col(f"_{v}") - F.col(v)) * part).otherwise(F.col(v)).alias(v) for v in values]
+    sure = (F.col("_at") == F.col(frame)) | (ahead & (F.col("_to") - F.col(frame) <= most))
+    return t.select(*keys, F.col("_at").alias(frame), *cols, F.coalesce(sure, F.lit(False)).alias("reliable"))

@@ -66,6 +66,13 @@ def peaks(df: DataFrame, key: str, frame: str, score: str, distance_: int) -> Da
     return df.groupBy(key).agg(kept.alias("k")).select(key, F.explode("k").alias("k")).select(key, F.col("k.frame").alias(frame), (-F.col("k.s")).alias(score))
 
 
+def above_percentile(df: DataFrame, frame: str, score: str, percentile: float, margin: int) -> DataFrame:
+    """Rows whose score reaches the percentile of all scores, away from the first and last `margin` frames."""
+    lim = df.agg(F.percentile(score, F.lit(percentile)).alias("_t"), F.min(frame).alias("_lo"), F.max(frame).alias("_hi"))  # one row
+    t = df.crossJoin(F.broadcast(lim)).where(F.col(score) >= F.col("_t"))
+    return t.where(F.col(frame).between(F.col("_lo") + margin, F.col("_hi") - margin)).drop("_t", "_lo", "_hi")
+
+
 def visible(frames: DataFrame, gap: int) -> DataFrame:
     """Maximal intervals of an id's frames with gaps of at most so many frames, and where each begins in a compilation."""
     s = seq.sessions(frames.select("gid", "frame").distinct(), "gid", "frame", gap, "part")

@@ -30,18 +30,14 @@ def intervals(match: DataFrame, least: int) -> DataFrame:
 def transitions(iv: DataFrame, most: int, block: int = 1 << 20) -> DataFrame:
     """Neighbouring intervals of different ids with 0..most frames between.
 
-    Neighbours are found in blocks of frames; the first interval of the following blocks stands in where a block's last one looks ahead. A block
-    holds at most `block` intervals, so that nothing is sorted in one task.
+    Neighbours are found in blocks of frames. Intervals go to the block before their own, too, where its last one looks ahead: one pass over iv, nothing sorted in one task. What
+    begins more than a block after another is beyond `most` frames of it.
     """
-    b = iv.withColumn("_b", F.floor(F.col("start_frame") / block))
-    heads = b.groupBy("_b").agg(F.min("start_frame").alias("_h"))
-    order = Window.orderBy("_b")  # a row per block of frames
-    heads = heads.withColumn("_next", F.lead("_b").over(order)).select(F.col("_next").alias("_src"), F.col("_b").alias("_to")).where("_src is not null")
-    first = b.join(b.groupBy("_b").agg(F.min("start_frame").alias("start_frame")), ["_b", "start_frame"])
-    ghost = first.join(heads, first["_b"] == heads["_src"]).drop("_b", "_src").withColumnRenamed("_to", "_b").withColumn("_ghost", F.lit(True))
+    own = F.floor(F.col("start_frame") / block)
+    b = iv.withColumn("_g", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_b", own - F.col("_g")).withColumn("_ghost", F.col("_g") == 1).drop("_g")
     w = Window.partitionBy("_b").orderBy("start_frame")
     nxt = {c: F.lead(c).over(w).alias(f"to_{c}") for c in ("gid", "start_frame", "confirmed_frame", "sbx", "sby")}
-    t = b.withColumn("_ghost", F.lit(False)).unionByName(ghost).select("*", *nxt.values()).where(~F.col("_ghost") & F.col("to_gid").isNotNull())
+    t = b.select("*", *nxt.values()).where(~F.col("_ghost") & F.col("to_gid").isNotNull())
     gap = F.col("to_start_frame") - F.col("end_frame") - 1
     return t.where((F.col("gid") != F.col("to_gid")) & gap.between(0, most)).select(
         F.col("gid").alias("from_gid"), "to_gid", "end_frame", "to_start_frame", gap.alias("gap"), F.col("to_confirmed_frame").alias("confirmed_frame"),

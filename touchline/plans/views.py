@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from touchline.operators import possession, tracks
 
@@ -46,6 +47,20 @@ class Views:
         return e.groupBy("gid", "frame").agg(F.round(F.max("value"), 4).alias("x"), F.round(F.min("value"), 4).alias("y"))
 
 
+    def rel(self) -> DataFrame:
+        """ticks with frames counted from their first one."""
+        t = self.ticks()
+        low = t.agg(F.min("frame").alias("_lo"))  # one row
+        return t.crossJoin(F.broadcast(low)).withColumn("frame", F.col("frame") - F.col("_lo")).drop("_lo")
+
+    def steps(self) -> DataFrame:
+        """ticks with the step from the frame before, if there is one, and a speed."""
+        w = Window.partitionBy("gid").orderBy("frame")
+        dx, dy = (F.col(c) - F.lag(c).over(w) for c in "xy")
+        t = self.ticks().withColumn("step", F.when(F.col("frame") - F.lag("frame").over(w) == 1, F.sqrt(dx * dx + dy * dy)))
+        return t.select("gid", "frame", "step", (F.col("step") * 0.2).alias("speed"))
+
+
 SQL = {
     "det": "SELECT CAST(l_orderkey AS INT) AS frame, CAST((l_orderkey // 8 + l_suppkey) % 7 AS INT) AS gid, l_quantity * 0.9 AS x, l_discount * 250 AS y, l_tax AS conf FROM lineitem",
     "dedup": "SELECT frame, gid, m.conf AS conf, m.x AS x, m.y AS y FROM (SELECT frame, gid, max(struct_pack(conf := conf, x := x, y := y)) AS m FROM det GROUP BY ALL)",
@@ -58,9 +73,10 @@ SQL = {
     "ck": "SELECT *, CASE WHEN from_team = 'unassigned' OR to_team = 'unassigned' THEN 'unknown' WHEN from_team <> to_team THEN 'opponent' WHEN displacement < 2.0 THEN 'short' ELSE 'directed' END AS kind FROM tr",
     "ps": "SELECT * FROM ck WHERE kind = 'directed'",
     "ticks": "SELECT CAST(user_id AS INT) AS gid, CAST(floor(floor(epoch(ts)) / 86400) AS INT) AS frame, round(max(value), 4) AS x, round(min(value), 4) AS y FROM events GROUP BY 1, 2",
+    "rel": "SELECT gid, CAST(frame - (SELECT min(frame) FROM ticks) AS INT) AS frame, x, y FROM ticks",
     "tickrun": "SELECT *, frame - row_number() OVER (PARTITION BY gid ORDER BY frame) AS run FROM ticks",
 }
-NEEDS = {"dedup": ["det"], "match": ["dedup", "ball"], "iv": ["match"], "tr0": ["iv"], "tr": ["tr0", "teams"], "ck": ["tr"], "ps": ["ck"], "tickrun": ["ticks"]}
+NEEDS = {"dedup": ["det"], "match": ["dedup", "ball"], "iv": ["match"], "tr0": ["iv"], "tr": ["tr0", "teams"], "ck": ["tr"], "ps": ["ck"], "tickrun": ["ticks"], "rel": ["ticks"]}
 
 
 def sql(query: str, *views: str) -> str:
