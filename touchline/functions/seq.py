@@ -45,11 +45,19 @@ def fill_gaps(df: DataFrame, keys: list[str], frame: str, values: list[str], mos
     return out.select(*keys, F.col("_at").alias(frame), *cols, F.when(seen, "observed").otherwise("interpolated").alias("source"))
 
 
-def range_join(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, width: int, keys: list[str] | None = None) -> DataFrame:
-    """points within [start, end] of spans, as an equi-join on buckets of `width`: each span goes to the buckets it touches, and no pair is a candidate twice."""
+def range_join(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, width: int, keys: list[str] | None = None, half_open: bool = False) -> DataFrame:
+    """points within [start, end] of spans ([start, end) if half_open), as an equi-join on buckets of `width`: each span goes to the buckets it touches, and no pair is a candidate twice."""
     p = points.withColumn("_bucket", F.floor(F.col(at) / width))
     s = spans.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
-    return p.join(s, ["_bucket", *(keys or [])]).where(F.col(at).between(F.col(start), F.col(end))).drop("_bucket")
+    within = (F.col(at) >= F.col(start)) & ((F.col(at) < F.col(end)) if half_open else (F.col(at) <= F.col(end)))
+    return p.join(s, ["_bucket", *(keys or [])]).where(within).drop("_bucket")
+
+
+def as_of_accepted(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, accepted: str) -> DataFrame:
+    """as_of() over right's accepted rows; a row of left at a place that right rejects has no value."""
+    bad = right.where(~F.col(accepted)).select(*keys, F.col(at), F.lit(True).alias("_no")).distinct()
+    out = as_of(left, right.where(accepted), keys, at, value).join(bad, [*keys, at], "left")
+    return out.select(*[c for c in left.columns if c != value], *[F.when(F.col("_no").isNull(), F.col(c)).alias(c) for c in (f"{value}_at", value)])
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, tolerance: float | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def modes(rows: DataFrame, vec: str, k: int, seed: int = 0) -> DataFrame:
@@ -53,3 +54,18 @@ def bucket_best(rows: DataFrame, key: str, frame: str, buckets: int, order: list
     place = F.least(F.floor((F.col(frame) - F.col("_lo")) * buckets / (F.col("_hi") - F.col("_lo") + 1)), F.lit(buckets - 1)).cast("int")
     t = rows.join(ends, key).withColumn("bucket", place)
     return t.groupBy(key, "bucket").agg(F.max(F.struct(*order, (-F.col(frame)).alias("_f"))).alias("m")).select(key, "bucket", *[F.col(f"m.{c}") for c in order], (-F.col("m._f")).alias(frame))
+
+
+def sampled_silhouette(rows: DataFrame, vec: str, label: str, order: str, most: int = 800) -> DataFrame:
+    """(silhouette, n) by plain distances of at most `most` rows, spread evenly over the order: as many as may be paired. Rows alone in their cluster count 0; null where fewer than two clusters have rows."""
+    x = rows.where(F.col(label).isNotNull() & F.col(vec).isNotNull())
+    total = x.agg(F.count("*").alias("_n"))  # one row
+    step = F.ceil(F.col("_n") / most)
+    x = x.withColumn("_k", F.row_number().over(Window.orderBy(order)) - 1).crossJoin(F.broadcast(total)).where(F.col("_k") % step == 0).select("_k", F.col(label).alias("l"), F.col(vec).cast("array<double>").alias("v"))
+    y = x.select(F.col("_k").alias("k2"), F.col("l").alias("l2"), F.col("v").alias("v2"))
+    dist = F.sqrt(F.aggregate(F.zip_with("v", "v2", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, e: s + e))
+    # at most `most` rows on either side
+    near = x.crossJoin(F.broadcast(y)).where("_k <> k2").groupBy("_k", "l", "l2").agg(F.avg(dist).alias("d"))
+    per = near.groupBy("_k").agg(F.min(F.when(F.col("l") == F.col("l2"), F.col("d"))).alias("a"), F.min(F.when(F.col("l") != F.col("l2"), F.col("d"))).alias("b"))
+    s = F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return per.where("b is not null").agg(F.round(F.avg(s), 6).alias("silhouette"), F.count("*").alias("n"))

@@ -32,6 +32,30 @@ def counterpress(changes: DataFrame, within: int) -> DataFrame:
     return hit.groupBy("lost", "team").agg(F.min("frame").alias("regained"))
 
 
+def counterpress_until_unknown(changes: DataFrame, within: int) -> DataFrame:
+    """As counterpress(), but a change to an unknown team ends the search: no recovery counts after it."""
+    loss = changes.where("from_team <> to_team and from_team <> 'unassigned'").select(F.col("frame").alias("lost"), F.col("from_team").alias("team"), (F.col("frame") + within).alias("_hi"))
+    hit = seq.range_join(changes.select("frame", "from_team", "to_team"), loss, "frame", "lost", "_hi", within).where("frame > lost")
+    back = F.when((F.col("to_team") == F.col("team")) & (F.col("from_team") != F.col("to_team")), F.col("frame"))
+    t = hit.groupBy("lost", "team").agg(F.min(back).alias("regained"), F.min(F.when(F.col("to_team") == "unassigned", F.col("frame"))).alias("_end"))
+    return t.where("regained is not null and (_end is null or regained < _end)").drop("_end")
+
+
+def likelihoods(ranked: DataFrame, key: str, cost: str) -> DataFrame:
+    """Each candidate's share of its event's sum of exp(-cost)."""
+    total = ranked.groupBy(key).agg(F.sum(F.exp(-F.col(cost)).cast("decimal(28,12)")).cast("double").alias("_t"))
+    return ranked.join(total, key).withColumn("likelihood", F.round(F.exp(-F.col(cost)) / F.col("_t"), 6)).drop("_t")
+
+
+def padded(spans: DataFrame, key: str, pad: int, last: int) -> DataFrame:
+    """A key's spans widened by so many frames on either side, within 0..last; those that touch then are one."""
+    t = spans.select(key, F.greatest(F.lit(0), F.col("start_frame") - pad).alias("a"), F.least(F.lit(last), F.col("end_frame") + pad).alias("b"))
+    before = F.max("b").over(Window.partitionBy(key).orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
+    t = t.withColumn("_n", F.when(before >= F.col("a") - 1, 0).otherwise(1))
+    t = t.withColumn("_k", F.sum("_n").over(Window.partitionBy(key).orderBy("a", "b")))
+    return t.groupBy(key, "_k").agg(F.min("a").alias("start_frame"), F.max("b").alias("end_frame")).drop("_k")
+
+
 def first_in_zone(shots: DataFrame, ball: DataFrame, within: int, zone: Column) -> DataFrame:
     """The first ball frame in the zone within so many frames of each shot."""
     spans = shots.select("shot", (F.col("shot") + within).alias("_hi"))

@@ -163,3 +163,16 @@ def new_ids(rows: DataFrame, key: str, segment: str) -> DataFrame:
     more = rows.select(key, segment).distinct().where(F.col(segment) > 0).withColumn("_rank", F.row_number().over(Window.orderBy(key, segment)))
     t = rows.join(more, [key, segment], "left").crossJoin(F.broadcast(top))
     return t.withColumn(f"new_{key}", F.when(F.col("_rank").isNull(), F.col(key).cast("long")).otherwise((F.col("_top") + F.col("_rank")).cast("long"))).drop("_rank", "_top")
+
+
+def people(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of one person put together: sums of distance, time and sprints, largest speed, whether any has a card, and the time-weighted mean of confirmed scores (a second at least each) with a status: confirmed, partial or pending; notes in order, each once."""
+    d = lambda c: F.sum(c.cast("decimal(28,6)")).cast("double")
+    ok = F.col("status") == "confirmed"
+    w = F.when(ok, F.greatest(F.lit(1.0), F.col("seconds")))
+    notes = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("note") != "", F.struct("gid", "note")))), lambda s: s["note"]))
+    return rows.groupBy(key).agg(
+        F.round(d(F.col("distance")), 3).alias("distance"), F.round(d(F.col("seconds")), 3).alias("seconds"), F.sum("sprints").alias("sprints"), F.max("peak").alias("peak"), F.bool_or("card").alias("card"),
+        F.round(d(F.col("score") * w) / d(w), 4).alias("score"), F.when(F.count_if(ok) == F.count("*"), "confirmed").when(F.count_if(ok) > 0, "partial").otherwise("pending").alias("status"),
+        F.array_join(notes, "; ").alias("notes"),
+    )

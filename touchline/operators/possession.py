@@ -21,7 +21,7 @@ def intervals(match: DataFrame, least: int) -> DataFrame:
     """Runs of at least so many consecutive frames of one id. Islands are found within ids, so that no window spans the whole table."""
     r = seq.runs(match, "gid", "frame").groupBy("gid", "run").agg(
         F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame"), F.count("*").alias("n"),
-        F.min("d").alias("min_d"), F.max("d").alias("max_d"), F.min_by("bx", "frame").alias("sbx"), F.min_by("bz", "frame").alias("sby"),
+        F.min("d").alias("min_d"), F.max("d").alias("max_d"), F.avg("d").alias("mean_d"), F.min_by("bx", "frame").alias("sbx"), F.min_by("bz", "frame").alias("sby"),
         F.max_by("bx", "frame").alias("ebx"), F.max_by("bz", "frame").alias("eby"),
     )
     return r.where(F.col("n") >= least).drop("run").withColumn("confirmed_frame", F.col("start_frame") + least - 1)

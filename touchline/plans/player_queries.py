@@ -449,3 +449,58 @@ def ledger_import(v):
     said = F.when(F.col("event_type") == "click", "第一次射门").when(F.col("event_type") == "view", "盘带突破").otherwise(F.col("event_type"))
     t = v.table("events").select(k.cast("long").alias("event_id"), at.alias("at"), said.alias("said"))
     return t.select("event_id", attributes.seconds(F.col("at")).isNull().alias("bad"), attributes.keyword_kind(F.col("said")).alias("kind"))
+
+
+# ---- further forms ----
+
+
+@query("SELECT gid, start_frame, round(mean_d, 6) AS mean_d FROM (SELECT gid, min(frame) AS start_frame, avg(d) AS mean_d, count(*) AS n FROM (SELECT *, frame - row_number() OVER (PARTITION BY gid ORDER BY frame) AS run FROM match) GROUP BY gid, run) WHERE n >= 2", "match")
+def interval_means(v):
+    return v.intervals().select("gid", "start_frame", rnd("mean_d").alias("mean_d"))
+
+
+@query("SELECT gid, frame, CASE WHEN NOT bad THEN CASE WHEN f IS NULL OR frame - b <= f - frame THEN b ELSE f END END AS frame_at FROM (SELECT t.gid, t.frame, bool_or(k = t.frame AND NOT ok) IS TRUE AS bad, max(k) FILTER (k <= t.frame AND ok) AS b, min(k) FILTER (k >= t.frame AND ok) AS f FROM ticks t LEFT JOIN (SELECT gid, frame AS k, x < 95 AS ok FROM ticks WHERE x > 80) s ON s.gid = t.gid GROUP BY t.gid, t.frame)", "ticks")
+def homography_veto(v):
+    t = v.ticks()
+    keys = t.where("x > 80").select("gid", "frame", F.col("x").alias("key"), (F.col("x") < 95).alias("ok"))
+    return seq.as_of_accepted(t.select("gid", "frame"), keys, ["gid"], "frame", "key", "ok").select("gid", "frame", F.col("key_at").alias("frame_at"))
+
+
+@query("SELECT b.frame, min(start_frame) AS start_frame FROM ball b JOIN iv ON b.frame >= start_frame AND b.frame < end_frame + 12 GROUP BY 1", "ball", "iv")
+def half_open_lookup(v):
+    spans = v.intervals().select("start_frame", (F.col("end_frame") + 12).alias("stop"))
+    return seq.range_join(v.ball().select("frame"), spans, "frame", "start_frame", "stop", 64, half_open=True).groupBy("frame").agg(F.min("start_frame").alias("start_frame"))
+
+
+@query("SELECT lost, team, regained FROM (SELECT a.end_frame AS lost, a.from_team AS team, min(b.end_frame) FILTER (b.to_team = a.from_team AND b.from_team <> b.to_team) AS regained, min(b.end_frame) FILTER (b.to_team = 'unassigned') AS stop FROM ck a JOIN ck b ON b.end_frame > a.end_frame AND b.end_frame <= a.end_frame + 1000 WHERE a.from_team <> a.to_team AND a.from_team <> 'unassigned' GROUP BY 1, 2) WHERE regained IS NOT NULL AND (stop IS NULL OR regained < stop)", "ck")
+def counterpress_ended(v):
+    return events.counterpress_until_unknown(v.transitions().select(F.col("end_frame").alias("frame"), "from_team", "to_team"), 1000)
+
+
+@query("SELECT event_id, gid, round(exp(-cost) / CAST(sum(CAST(exp(-cost) AS DECIMAL(28,12))) OVER (PARTITION BY event_id) AS DOUBLE), 6) AS likelihood FROM (SELECT event_id, gid, round(cost, 6) AS cost, row_number() OVER (PARTITION BY event_id ORDER BY cost, gid) AS rank FROM (SELECT e.event_id, p.gid, min(sqrt((p.x - b.bx) * (p.x - b.bx) + (p.y - b.bz) * (p.y - b.bz)) + abs(b.frame - e.frame) * 0.18 / 5.0) AS cost FROM (SELECT frame AS event_id, frame FROM ball WHERE bx > 43) e JOIN ball b ON b.frame BETWEEN e.frame - 5 AND e.frame + 1 JOIN dedup p ON p.frame = b.frame GROUP BY ALL)) WHERE rank <= 3", "ball", "dedup")
+def actor_likelihood(v):
+    e = v.ball().where("bx > 43").select(F.col("frame").alias("event_id"), "frame")
+    a = events.actors(e, v.ball(), v.dedup().select("frame", "gid", "x", "y"), 5, 1)
+    return events.likelihoods(a, "event_id", "cost").select("event_id", "gid", "likelihood")
+
+
+@query("SELECT gid, min(a) AS start_frame, max(b) AS end_frame FROM (SELECT *, sum(n) OVER (PARTITION BY gid ORDER BY a, b) AS k FROM (SELECT *, CASE WHEN max(b) OVER (PARTITION BY gid ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= a - 1 THEN 0 ELSE 1 END AS n FROM (SELECT gid, greatest(0, start_frame - 20) AS a, least(100000, end_frame + 20) AS b FROM iv))) GROUP BY gid, k", "iv")
+def padded_intervals(v):
+    return events.padded(v.intervals().select("gid", "start_frame", "end_frame"), "gid", 20, 100000)
+
+
+@query("SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette, count(*) AS n FROM (SELECT k, min(d) FILTER (l = l2) AS a, min(d) FILTER (l <> l2) AS b FROM (SELECT p.k, p.l, q.l AS l2, avg(sqrt(list_sum(list_transform(range(1, 65), lambda i: (p.v[i] - q.v[i]) * (p.v[i] - q.v[i]))))) AS d FROM s p JOIN s q ON p.k <> q.k GROUP BY ALL) GROUP BY k) WHERE b IS NOT NULL", "s")
+def silhouette_sampled(v):
+    from touchline.operators import clusters
+
+    return clusters.sampled_silhouette(v.table("embeddings"), "embedding", "label", "vec_id", 120)
+
+
+@query("SELECT person, round(CAST(sum(CAST(distance AS DECIMAL(28,6))) AS DOUBLE), 3) AS distance, round(CAST(sum(CAST(seconds AS DECIMAL(28,6))) AS DOUBLE), 3) AS seconds, CAST(sum(sprints) AS BIGINT) AS sprints, max(distance) AS peak, bool_or(card) AS card, round(CAST(sum(CAST(score * greatest(1.0, seconds) AS DECIMAL(28,6))) FILTER (ok) AS DOUBLE) / CAST(sum(CAST(greatest(1.0, seconds) AS DECIMAL(28,6))) FILTER (ok) AS DOUBLE), 4) AS score, CASE WHEN count(*) FILTER (ok) = count(*) THEN 'confirmed' WHEN count(*) FILTER (ok) > 0 THEN 'partial' ELSE 'pending' END AS status, coalesce(notes, '') AS notes FROM (SELECT c_nationkey AS person, c_custkey, c_acctbal AS distance, CAST(c_custkey % 31 AS DOUBLE) AS seconds, c_custkey % 5 AS sprints, c_custkey % 40 = 0 AS card, CAST(c_custkey % 97 AS DOUBLE) AS score, c_custkey % 3 > 0 AS ok FROM customer) LEFT JOIN (SELECT person, string_agg(note, '; ' ORDER BY k) AS notes FROM (SELECT c_nationkey AS person, c_mktsegment AS note, min(c_custkey) AS k FROM customer WHERE c_custkey % 2 = 0 GROUP BY ALL) GROUP BY person) USING (person) GROUP BY person, notes")
+def people_merged(v):
+    k = F.col("c_custkey")
+    c = v.table("customer").select(
+        F.col("c_nationkey").alias("person"), k.alias("gid"), F.col("c_acctbal").alias("distance"), (k % 31).cast("double").alias("seconds"), (k % 5).alias("sprints"), F.col("c_acctbal").alias("peak"), (k % 40 == 0).alias("card"),
+        (k % 97).cast("double").alias("score"), F.when(k % 3 > 0, "confirmed").otherwise("pending").alias("status"), F.when(k % 2 == 0, F.col("c_mktsegment")).otherwise("").alias("note"),
+    )
+    return identity.people(c, "person")

@@ -73,6 +73,7 @@ SQL = {
     "ck": "SELECT *, CASE WHEN from_team = 'unassigned' OR to_team = 'unassigned' THEN 'unknown' WHEN from_team <> to_team THEN 'opponent' WHEN displacement < 2.0 THEN 'short' ELSE 'directed' END AS kind FROM tr",
     "ps": "SELECT * FROM ck WHERE kind = 'directed'",
     "ticks": "SELECT CAST(user_id AS INT) AS gid, CAST(floor(floor(epoch(ts)) / 86400) AS INT) AS frame, round(max(value), 4) AS x, round(min(value), 4) AS y FROM events GROUP BY 1, 2",
+    "s": "SELECT k, label AS l, embedding::DOUBLE[] AS v FROM (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS k, count(*) OVER () AS n FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL) WHERE k % CAST(ceil(n / 120) AS BIGINT) = 0",
     "rel": "SELECT gid, CAST(frame - (SELECT min(frame) FROM ticks) AS INT) AS frame, x, y FROM ticks",
     "tickrun": "SELECT *, frame - row_number() OVER (PARTITION BY gid ORDER BY frame) AS run FROM ticks",
 }

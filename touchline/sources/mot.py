@@ -9,8 +9,13 @@ SCHEMA = "frame double, global_id double, x double, y double, w double, h double
 
 
 def read_mot(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """Detections with frame_proc counted from 0. strict: a repeated (frame, id) fails the query, where it is read."""
+    """Detections with frame_proc counted from 0. strict: a file without rows is an error here; fewer than seven fields, a frame below 1 or a repeated (frame, id) fail the query, where they are read."""
     rows = spark.read.schema(SCHEMA).csv(path).where("frame is not null")
+    if strict:
+        if rows.isEmpty():
+            raise ValueError(f"no detections in {path}")
+        whole = F.assert_true(F.col("confidence").isNotNull() & (F.col("frame") >= 1), F.lit("a line has fewer than seven fields or a frame below 1"))
+        rows = rows.where(whole.isNull())
     out = rows.select((F.col("frame").cast("int") - 1).alias("frame_proc"), F.col("global_id").cast("int").alias("global_id"), "x", "y", "w", "h", "confidence")
     if not strict:
         return out
@@ -27,8 +32,11 @@ def write_mot(df: DataFrame, path: str) -> None:
 
 
 def read_ball(spark: SparkSession, path: str) -> DataFrame:
-    """Observed ball points; a missing flag counts as observed, of a frame's rows the last one stays."""
-    rows = spark.read.option("header", True).csv(path).withColumn("_n", F.monotonically_increasing_id())
+    """Observed ball points of one file; a missing flag counts as observed, of a frame's rows the last one stays. A file without rows is an error."""
+    # one task reads a file's lines in order
+    rows = spark.read.option("header", True).option("multiLine", True).csv(path).withColumn("_n", F.monotonically_increasing_id())
+    if rows.isEmpty():
+        raise ValueError(f"no ball positions in {path}")
     seen = F.lower(F.trim(F.coalesce(F.col("observed"), F.lit("1")))).isin("1", "true", "yes") if "observed" in rows.columns else F.lit(True)
     last = lambda c: F.max_by(F.col(c).cast("double"), "_n").alias(c)
     return rows.where(seen).groupBy(F.col("frame_proc").cast("double").cast("int").alias("frame_proc")).agg(last("ball_x_px"), last("ball_y_px"))
