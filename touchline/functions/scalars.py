@@ -107,3 +107,27 @@ def trial_window(total: Column, start: float = 300.0, length: float = 120.0) ->
     """(start, length) of the trial: minutes 5 to 7, or the end of a shorter video."""
     n = F.greatest(F.lit(0.0), F.least(F.lit(length), total))
     return F.when(total <= 0, 0.0).when(start + n <= total, start).otherwise(F.greatest(F.lit(0.0), total - n)), n
+
+
+def frame_domain(frame: Column, n: Column) -> Column:
+    """Whether a frame is one of 0..n-1."""
+    return F.coalesce(frame.between(0, n - 1), F.lit(False))
+
+
+def in_ranges(**ranges: tuple[Column, float, float]) -> Column:
+    """The names of the parameters that are null or outside [low, high], joined; empty if all are fine."""
+    return F.concat_ws(";", *[F.when(~F.coalesce(c.between(lo, hi), F.lit(False)), name) for name, (c, lo, hi) in ranges.items()])
+
+
+def verdict(score: Column) -> Column:
+    """How well a player fits, by fixed bounds 86 and 72."""
+    return F.when(score >= 86, "strong").when(score >= 72, "fit").otherwise("develop")
+
+
+def extremes(scores: Column, best: int = 4, worst: int = 2) -> tuple[Column, Column]:
+    """Names of the best and of the worst dimensions of an array of (name, score), by score, then name."""
+    s = F.transform(scores, lambda x: F.struct((-x["score"]).alias("s"), x["name"].alias("name")))
+    up = F.array_sort(s)
+    down = F.array_sort(F.transform(scores, lambda x: F.struct(x["score"].alias("s"), x["name"].alias("name"))))
+    names = lambda a, n: F.array_join(F.transform(F.slice(a, 1, n), lambda x: x["name"]), ";")
+    return names(up, best), names(down, worst)

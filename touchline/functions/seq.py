@@ -98,6 +98,27 @@ def suppress(items: Column, distance: int) -> Column:
     return F.aggregate(items, none, lambda kept, x: F.when(F.exists(kept, lambda k: F.abs(k["frame"] - x["frame"]) < distance), kept).otherwise(F.concat(kept, F.array(x))))
 
 
+def row_index(df: DataFrame, keys: list[str], order: str, ties: list[str], name: str, parts: int = 64, descending: bool = False) -> DataFrame:
+    """df with each row's place in its key's order, from 0 (nulls of a numeric `order` last), without a task that sorts a whole key.
+
+    Fixed bounds, approximate quantiles of the order, cut it into parts; a row's place is the number of its key's rows in the parts before, and its place in its own part. Bounds only balance the parts, so that the result doesn't depend on them.
+    """
+    bounds = sorted(set(df.approxQuantile(order, [k / parts for k in range(1, parts)], 0.005)))
+    at = F.lit(len(bounds)).cast("long") if not bounds else F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(order))).cast("long")
+    part = (len(bounds) - at) if descending else at
+    t = df.withColumn("_part", F.when(F.col(order).isNull(), F.lit(len(bounds) + 1).cast("long")).otherwise(part))
+    n = t.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # `parts` rows a key
+    n = n.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_q"), F.coalesce(before, F.lit(0)).alias("_before"))
+    same = F.col("_part") == F.col("_q")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    by = F.col(order).desc_nulls_last() if descending else F.col(order).asc_nulls_last()
+    rank = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(by, *ties)) - 1
+    out = t.withColumn("_r", rank).join(n, same)
+    return out.withColumn(name, F.col("_before") + F.col("_r")).drop("_part", "_r", "_q", "_before", *[f"_k_{k}" for k in keys])
+
+
 def round_robin(df: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
     """The first n rows taken by turns from the groups, each group's best first."""
     rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))

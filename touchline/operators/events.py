@@ -73,9 +73,10 @@ def actors(events: DataFrame, ball: DataFrame, players: DataFrame, before: int,
 
 
 def signal_z(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """Box mean over five rows (zeros beyond the ends) and its z-score within the key; 0 where nothing varies."""
-    w = Window.partitionBy(key).orderBy(*order)
-    s = df.withColumn("smooth", F.round(F.sum(F.col(value).cast("decimal(28,9)")).over(w.rowsBetween(-2, 2)).cast("double") / 5, 9))
+    """Box mean over five rows (zeros beyond the ends) and its z-score within the key; 0 where nothing varies. Each value goes to the five rows that it reaches by place, so that no task sorts a whole key."""
+    t = seq.row_index(df, [key], order[0], order[1:], "_k")
+    near = t.select(key, F.explode(F.sequence(F.col("_k") - 2, F.col("_k") + 2)).alias("_k"), F.col(value).cast("decimal(28,9)").alias("_v")).groupBy(key, "_k").agg(F.sum("_v").alias("_v"))
+    s = t.join(near, [key, "_k"]).withColumn("smooth", F.round(F.col("_v").cast("double") / 5, 9)).drop("_k", "_v")
     d = lambda c: c.cast("decimal(28,9)")
     per = s.groupBy(key).agg(F.count("*").alias("_n"), F.sum(d(F.col("smooth"))).cast("double").alias("_s"), F.sum(d(F.col("smooth") * F.col("smooth"))).cast("double").alias("_q"))
     mean, var = F.col("_s") / F.col("_n"), F.col("_q") / F.col("_n") - (F.col("_s") / F.col("_n")) * (F.col("_s") / F.col("_n"))

@@ -92,9 +92,9 @@ def dense_matrix(ps: DataFrame) -> DataFrame:
 
 
 def systematic_sample(df: DataFrame, order: list[str], n: int = 20) -> DataFrame:
-    """Rows at floor((i + 0.5) * total / n) of the order, all of them where there are n or fewer. Meant for small result tables."""
-    w = Window.orderBy(*order)
-    t = df.withColumn("_k", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy()))
+    """Rows at floor((i + 0.5) * total / n) of the order, all of them where there are n or fewer; no task sorts the whole table."""
+    total = df.agg(F.count("*").alias("_n"))  # one row
+    t = seq.row_index(df, [], order[0], order[1:], "_k").crossJoin(F.broadcast(total))
     i = F.floor((F.col("_k") + 0.0) * n / F.col("_n"))
     hit = F.exists(F.sequence(i - 1, i + 1), lambda j: (j >= 0) & (j < n) & (F.floor((j + 0.5) * F.col("_n") / n) == F.col("_k")))
     return t.where((F.col("_n") <= n) | hit).drop("_k", "_n")

@@ -52,3 +52,10 @@ def by_priority(rows: DataFrame, kind: str, order: list[str], ties: list[str]) -
     """Rows with the place of their kind in the list, those of no listed kind last; sorted by it."""
     place = F.coalesce(F.array_position(F.array(*map(F.lit, order)), F.col(kind)), F.lit(0))
     return rows.withColumn("priority", F.when(place > 0, place - 1).otherwise(9).cast("int")).orderBy("priority", *ties)
+
+
+def broken_rules(rows: DataFrame, keys: list[str], **rules: Column) -> DataFrame:
+    """Per key the names of the rules that some row of it breaks, joined, and whether it passes. Rules are conditions that every row must meet."""
+    per = rows.groupBy(*keys).agg(*[F.bool_and(F.coalesce(c, F.lit(False))).alias(f"_{n}") for n, c in rules.items()])
+    broken = F.concat_ws(";", *[F.when(~F.col(f"_{n}"), n) for n in rules])
+    return per.select(*keys, broken.alias("broken"), (broken == "").alias("passed"))

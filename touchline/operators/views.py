@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from touchline.functions import seq
+
 
 def shares(df: DataFrame, key: str, value: str, digits: int = 4) -> DataFrame:
     """A key's total and its share of all; the window spans the aggregated rows only."""
@@ -19,8 +21,10 @@ def leaders(df: DataFrame, order: list[Column], n: int = 5) -> DataFrame:
 
 
 def ranked(df: DataFrame, metric: str, tie: str) -> DataFrame:
-    w = Window.orderBy(F.col(metric).desc(), tie)
-    return df.withColumn("rank", F.row_number().over(w)).withColumn("of", F.count("*").over(Window.partitionBy()))
+    """Places by falling metric from 1, and the number of rows; no task sorts the whole table."""
+    total = df.agg(F.count("*").alias("of"))  # one row
+    t = seq.row_index(df, [], metric, [tie], "_k", descending=True)
+    return t.crossJoin(F.broadcast(total)).withColumn("rank", (F.col("_k") + 1).cast("int")).drop("_k")
 
 
 def timeline(*parts: DataFrame) -> DataFrame:

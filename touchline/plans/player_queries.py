@@ -504,3 +504,38 @@ def people_merged(v):
         (k % 97).cast("double").alias("score"), F.when(k % 3 > 0, "confirmed").otherwise("pending").alias("status"), F.when(k % 2 == 0, F.col("c_mktsegment")).otherwise("").alias("note"),
     )
     return identity.people(c, "person")
+
+
+@query("SELECT gid, count(*) FILTER (frame BETWEEN 0 AND 4999) AS inside, count(*) FILTER (NOT frame BETWEEN 0 AND 4999) AS outside FROM det GROUP BY gid", "det")
+def frame_domain(v):
+    ok = scalars.frame_domain(F.col("frame"), F.lit(5000))
+    return v.det().groupBy("gid").agg(F.count_if(ok).alias("inside"), F.count_if(~ok).alias("outside"))
+
+
+@query("SELECT gid, count(*) FILTER (mode = 0) AS mode_0, count(*) FILTER (mode = 1) AS mode_1, count(*) FILTER (mode = -1) AS unknown FROM (SELECT gid, CASE WHEN x > 60 THEN 1 WHEN x < 40 THEN 0 ELSE -1 END AS mode FROM ticks) GROUP BY gid", "ticks")
+def mode_counts(v):
+    t = v.ticks().select("gid", F.when(F.col("x") > 60, "mode_1").when(F.col("x") < 40, "mode_0").otherwise("unknown").alias("mode"))
+    return reviews.counts_by(t, ["gid"], "mode", ["mode_0", "mode_1", "unknown"])
+
+
+@query("SELECT end_frame AS frame, from_gid, to_gid FROM ck ORDER BY end_frame, from_gid LIMIT 60", "ck")
+def event_order(v):
+    return v.transitions().select(F.col("end_frame").alias("frame"), "from_gid", "to_gid").orderBy("frame", "from_gid").limit(60)
+
+
+@query("SELECT o_custkey, concat_ws(';', CASE WHEN NOT bool_and(o_totalprice > 1000) THEN 'price' END, CASE WHEN NOT bool_and(o_orderstatus <> 'P') THEN 'status' END, CASE WHEN NOT bool_and(o_orderkey % 7 > 0) THEN 'key' END) AS broken, bool_and(o_totalprice > 1000) AND bool_and(o_orderstatus <> 'P') AND bool_and(o_orderkey % 7 > 0) AS passed FROM orders GROUP BY o_custkey")
+def package_rules(v):
+    return reviews.broken_rules(v.table("orders"), ["o_custkey"], price=F.col("o_totalprice") > 1000, status=F.col("o_orderstatus") != "P", key=F.col("o_orderkey") % 7 > 0)
+
+
+@query("SELECT o_orderkey, concat_ws(';', CASE WHEN o_custkey % 50 > 40 THEN 'stride' END, CASE WHEN NOT o_totalprice BETWEEN 2000 AND 300000 THEN 'price' END) AS wrong FROM orders")
+def parameter_ranges(v):
+    return v.table("orders").select("o_orderkey", scalars.in_ranges(stride=(F.col("o_custkey") % 50, 0, 40), price=(F.col("o_totalprice"), 2000, 300000)).alias("wrong"))
+
+
+@query("SELECT user_id, array_to_string(list_transform(list_sort(list(struct_pack(s := -m, n := event_type)))[1:4], lambda x: x.n), ';') AS strengths, array_to_string(list_transform(list_sort(list(struct_pack(s := m, n := event_type)))[1:2], lambda x: x.n), ';') AS weaknesses, CASE WHEN max(m) >= 86 THEN 'strong' WHEN max(m) >= 72 THEN 'fit' ELSE 'develop' END AS verdict FROM (SELECT user_id, event_type, max(value) AS m FROM events GROUP BY ALL) GROUP BY user_id")
+def player_profile(v):
+    per = v.table("events").groupBy("user_id", "event_type").agg(F.max("value").alias("m"))
+    per = per.groupBy("user_id").agg(F.collect_list(F.struct(F.col("event_type").alias("name"), F.col("m").alias("score"))).alias("s"), F.max("m").alias("top"))
+    best, worst = scalars.extremes(F.col("s"))
+    return per.select("user_id", best.alias("strengths"), worst.alias("weaknesses"), scalars.verdict(F.col("top")).alias("verdict"))
