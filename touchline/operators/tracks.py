@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def best_per_frame(det: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Of each key's rows the one that is greatest by `order`; a max of structs, so that partial results shrink before the shuffle."""
+def best_per_frame(det: DataFrame, keys: list[str], order: list[str], by: str | None = None) -> DataFrame:
+    """Of each key's rows the one that is greatest by `order`; a max of structs, so that partial results shrink before the shuffle.
+
+    With `by`, one of the keys, rows are dealt by it alone: where few rows repeat, that one shuffle serves what is joined or grouped by it next.
+    """
     rest = [c for c in det.columns if c not in keys and c not in order]
+    det = det.repartition(by) if by else det
     return det.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("_m")).select(*keys, "_m.*")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from touchline.functions import tables
 from touchline.operators import possession, tracks
 
 REACH, RUN, GAP = 12.0, 2, 15
@@ -13,7 +14,7 @@ REACH, RUN, GAP = 12.0, 2, 15
 
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self._intervals = spark, sf_dir, None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -23,7 +24,7 @@ class Views:
         return self.table("lineitem").select(F.col("l_orderkey").cast("int").alias("frame"), gid.alias("gid"), (F.col("l_quantity") * 0.9).alias("x"), (F.col("l_discount") * 250).alias("y"), F.col("l_tax").alias("conf"))
 
     def dedup(self) -> DataFrame:
-        return tracks.best_per_frame(self.det(), ["frame", "gid"], ["conf", "x", "y"])
+        return tracks.best_per_frame(self.det(), ["frame", "gid"], ["conf", "x", "y"], by="frame")
 
     def ball(self) -> DataFrame:
         return self.table("orders").select(F.col("o_orderkey").cast("int").alias("frame"), (F.expr("o_custkey % 450") / 10.0).alias("bx"), (F.expr("o_custkey % 250") / 10.0).alias("bz"))
@@ -36,7 +37,10 @@ class Views:
         return possession.nearest_player(self.dedup(), self.ball(), REACH)
 
     def intervals(self) -> DataFrame:
-        return possession.intervals(self.match(), RUN)
+        """Written once for each query: its branches, and what follows, read the table."""
+        if self._intervals is None:
+            self._intervals = tables.cut(possession.intervals(self.match(), RUN), "intervals")
+        return self._intervals
 
     def transitions(self) -> DataFrame:
         return possession.classified(possession.transitions(self.intervals(), GAP), F.broadcast(self.teams()), 2.0)
