@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -12,40 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from touchline.functions.tables import cut, new_path, shared_dir  # noqa: F401
+
 #: A side is broadcast only if it has at most so many rows and bytes, as counted.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 #: Edges of one node that meet in one task at most, beyond what is broadcast.
 HUB = 100_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset, a folder of our own in local mode, and an error on a cluster."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("touchline.shared.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="touchline-")
-        spark.conf.set("touchline.shared.dir", base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/touchline/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df as a written Parquet table of the shared folder: lineage ends here, and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def unused(df: DataFrame, name: str) -> str:
     """name, with underscores before it until no column of df is called so."""
     taken = {c.lower() for c in df.columns}
