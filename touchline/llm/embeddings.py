@@ -236,4 +236,5 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec
 
 
 def op4_embeddings(vectors: DataFrame) -> DataFrame:
+    """The contract's row per vector. Null labels and ids, and vectors that are null, empty, zero or hold null or non-finite components, link with nothing; rows of repeated ids are returned each, equal vectors link with each other; extra columns are ignored."""
     return near_duplicates(vectors).withColumnRenamed("id", "vec_id")

@@ -39,7 +39,10 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, id_col: str = "doc_id",
 
 
 def patterns(lengths: np.ndarray, size: int, most: int = 40_000) -> np.ndarray:
-    """Rows of three lengths (0: none) that fill `size` as fully as the lengths allow: each with its best partner, and pairs with their best third."""
+    """Rows of three lengths (0: none) that fill `size` as fully as the lengths allow: each with its best partner, and pairs with their best third.
+
+    Of more than about `most` pairs, which over some 280 lengths make, every so-many-th is taken: the patterns that the fit may choose from are thinned, no length or piece is.
+    """
     at = np.sort(lengths)
     pick = lambda room: np.where(room >= at[0], at[np.clip(np.searchsorted(at, room, "right") - 1, 0, None)], 0)
     one = np.stack([at, pick(size - at), np.zeros_like(at)], axis=1)
