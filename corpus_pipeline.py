@@ -13,7 +13,7 @@ WORDS = 5
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of an expected severity of REJECT or more go."""
+    """Documents of an expected severity of REJECT or more go; those of null or empty texts stay, whatever their ids."""
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
     name = unused(docs, "_severity")
     return toxicity.with_severity(docs, model, name=name).where(F.col(name) < toxicity.REJECT).drop(name)
@@ -25,7 +25,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark window go."""
+    """Documents that hold a benchmark window go; null and empty texts hold none and stay, and so does everything where there are no benchmark items."""
     return decontaminate.remove_documents(docs, read(spark, sf_dir, "benchmark"))
 
 
