@@ -16,6 +16,8 @@ from .common import batched, cut, sized
 GROUP = 500
 #: Contexts' symbols sorted at once in a task, bytes of text hashed at once.
 SYMBOLS, BYTES = 400_000, 1 << 20
+#: Words of a text hashed at once.
+WORDS = 1 << 17
 #: Strings below which they are emitted one by one.
 FEW = 200
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -214,14 +216,13 @@ def slide_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(m[: len(v) - w + 1], m[w - k : w - k + len(v) - w + 1])
 
 
-def anchored(x: np.ndarray, length: int) -> list[np.ndarray]:
+def anchored(x: np.ndarray, length: int, k: int) -> list[np.ndarray]:
     """(s, n, core start, core hash, context hash) of runs of windows: the n windows of `length` bytes from s on whose anchor is the same.
 
-    A window's anchor is the stretch of half its length in it with the least hash, the first one on ties; equal windows have
+    A window's anchor is the stretch of k bytes in it with the least hash, the first one on ties; equal windows have
     equal anchors at the same place. The context is what the run's windows cover. Long texts are taken in parts; runs
     may then be cut in two, which changes no window's anchor.
     """
-    k = length // 2
     w = length - k + 1
     out = []
     for p in range(0, len(x) - length + 1, BYTES):
@@ -254,17 +255,25 @@ def _runs(doc_ids, rows, got: list) -> pa.RecordBatch:
     )
 
 
-def runs(docs: DataFrame, length: int) -> DataFrame:
-    """Anchored runs of every document (doc_id, row, text)."""
+def data(text: str | bytes | None) -> bytes:
+    return text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+
+
+def runs(docs: DataFrame, length: int, core: int, once: bool) -> DataFrame:
+    """Anchored runs of every document (doc_id, row, text); with once, of a document's equal contexts one only."""
 
     def run(batches):
         for b in batches:
             got = []
             for k, t in enumerate(b.column(2)):
-                x = np.frombuffer((t.as_py() or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
+                x = np.frombuffer(data(t.as_py()), dtype=np.uint8)
                 if len(x) >= length:
-                    s, n, c, key, ctx = anchored(x, length)
-                    got.append((k, s, n, c, length // 2, key, ctx))
+                    cols = anchored(x, length, core)
+                    if once:
+                        first = np.sort(np.unique(cols[4], return_index=True)[1])
+                        cols = [c[first] for c in cols]
+                    s, n, c, key, ctx = cols
+                    got.append((k, s, n, c, core, key, ctx))
             yield _runs(b.column(0), b.column(1), got)
 
     return docs.mapInArrow(run, RUN)
@@ -294,7 +303,7 @@ def split_runs(held: DataFrame, length: int) -> DataFrame:
         for b in batches:
             got, weights = [], []
             for k, (t, rs) in enumerate(zip(b.column(2), b.column(3).to_pylist())):
-                h = Hashed(np.frombuffer((t.as_py() or "").encode("utf-8", "surrogatepass"), dtype=np.uint8))
+                h = Hashed(np.frombuffer(data(t.as_py()), dtype=np.uint8))
                 s, n, core, width, w = (np.array([r[c] for r in rs], dtype=np.int64) for c in ("s", "n", "core", "core_len", "w"))
                 of, s, n, c, width = halved(s, n, s + core, width, length)
                 got.append((k, s, n, c, width, h.of(c, c + width), h.of(s, s + n - 1 + length)))
@@ -325,7 +334,7 @@ def contexts(held: DataFrame, length: int) -> DataFrame:
         for b in batches:
             rows = []
             for t, rs in zip(b.column(2), b.column(3).to_pylist()):
-                x = (t.as_py() or "").encode("utf-8", "surrogatepass")
+                x = data(t.as_py())
                 rows += [(r["key"], r["ctx"], r["kinds"], r["core"], r["core_len"], r["n"], x[r["s"] : r["s"] + r["n"] - 1 + length]) for r in rs]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate(kinds)], names=["key", "ctx", "kinds", "core", "core_len", "n", "bytes"])
@@ -384,17 +393,22 @@ def sorted_hits(ctx: DataFrame, length: int) -> DataFrame:
     return ctx.repartition("key").sortWithinPartitions("kinds", "key", "ctx").mapInArrow(run, "key long, ctx long, a int, b int")
 
 
-def repeated(docs: DataFrame, length: int = 400) -> DataFrame:
+def repeated(docs: DataFrame, length: int = 400, core: int | None = None, once: bool = False) -> DataFrame:
     """(doc_id, row, a, b): stretches [a, b) of bytes of docs (doc_id, row, text), each covered by repeated strings of `length` bytes.
 
     Windows are routed by their anchors. Equal contexts meet by their hashes (twice 64 bits) and count as one text with a weight: of two or more,
     every window is repeated. Contexts that differ but share a core are compared by suffix arrays; a core with more than GROUP
     of them is first split: one run of each of its contexts, with the weight, goes on as two with longer cores, down to single windows, so that no group of any size meets in a task.
+    Anchors have `core` bytes, half of a window's by default. With once, a document's equal contexts count as one, and anchors that one document alone has are left out.
     """
-    found, now = [], cut(runs(docs, length).withColumn("w", F.lit(1).cast("long")), "runs")
+    found, now = [], cut(runs(docs, length, core or length // 2, once).withColumn("w", F.lit(1).cast("long")), "runs")
     while True:
         per = now.groupBy("key", "ctx").agg(F.sum("w").alias("w"), F.min(F.struct("doc_id", "row", "s", "n", "core", "core_len")).alias("r"))
-        keys = per.groupBy("key").agg(F.sum("w").alias("total"), F.count("*").alias("kinds"), F.min("w").alias("least")).where("total > 1")
+        who = F.struct("r.doc_id", "r.row")
+        keys = per.groupBy("key").agg(F.sum("w").alias("total"), F.count("*").alias("kinds"), F.min("w").alias("least"), F.max("w").alias("most"), F.min(who).alias("lo"), F.max(who).alias("hi")).where("total > 1")
+        if once:
+            keys = keys.where("most > 1 or not (lo <=> hi)")
+        keys = keys.drop("most", "lo", "hi")
         cand = cut(per.join(keys, "key").select("key", "ctx", "w", "kinds", "least", "r.*"), "candidates")
         whole = cand.where("w > 1").select("key", "ctx", F.lit(0).alias("a"), F.col("n").alias("b"))
         mixed = cand.where("kinds > 1 and least = 1")
@@ -449,7 +463,37 @@ def deduplicated(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     return held.mapInArrow(run, "doc_id long, row long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+def coded(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, text): each word of a text (without ASCII white space) as two bytes of its hash."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for t in b.column(2):
+                w = data(t.as_py()).split()
+                if not w:
+                    out.append(b"")
+                    continue
+                end = np.cumsum(np.fromiter(map(len, w), dtype=np.int64, count=len(w)) + 1) - 1
+                start = np.concatenate(([0], end[:-1] + 1))
+                h = [Hashed(np.frombuffer(b" ".join(w[k : k + WORDS]), dtype=np.uint8)).of(start[k : k + WORDS] - start[k], end[k : k + WORDS] - start[k]) for k in range(0, len(w), WORDS)]
+                out.append((np.concatenate(h) >> np.uint64(48)).astype("<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, type=pa.binary())], names=["doc_id", "row", "text"])
+
+    return docs.mapInArrow(run, "doc_id long, row long, text binary")
+
+
+def shared_passages(docs: DataFrame, words: int = 51) -> DataFrame:
+    """(doc_id, row) of the documents that hold a passage of so many words that another one holds, too, whatever white space parts them. The same method as for bytes, on two bytes a word."""
+    return repeated(cut(coded(docs), "coded"), 2 * words, words // 2, once=True).select("doc_id", "row").distinct()
+
+
 def op6_suffixes(docs: DataFrame) -> DataFrame:
-    """The contract's row per document, and whether anything was removed from it. Null texts are empty; rows of null or repeated ids are returned each, and repeated rows are copies of each other; extra columns are ignored."""
-    out = deduplicated(docs, 400)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("repeated"))
+    """The contract's row per document, and whether it shares a passage of over 50 words with another one. Such a passage may have less than 400 bytes, so that nothing is removed.
+
+    Null texts are empty; rows of null or repeated ids are returned each, and repeated rows are copies of each other; extra columns are ignored.
+    """
+    out = deduplicated(docs, 400).select("doc_id", "row", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    flagged = cut(shared_passages(keyed(docs)), "passages").withColumn("shared", F.lit(True))
+    out = out.alias("a").join(sized(flagged).alias("b"), _same("a", "b"), "left")
+    return out.select("a.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.coalesce("shared", F.lit(False)).alias("shared_passage"))
