@@ -463,29 +463,33 @@ def deduplicated(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     return held.mapInArrow(run, "doc_id long, row long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+def word_codes(text: bytes) -> bytes:
+    """A byte of each word's hash; words are parted by ASCII white space."""
+    x = np.frombuffer(text, dtype=np.uint8)
+    word = np.concatenate(([False], (x != 32) & ((x < 9) | (x > 13)), [False]))
+    edge = np.flatnonzero(word[1:] != word[:-1])
+    start, end = edge[::2], edge[1::2]
+    out = [np.empty(0, dtype=np.uint8)]
+    for k in range(0, len(start), WORDS):
+        a, b = start[k : k + WORDS], end[k : k + WORDS]
+        out.append((Hashed(x[a[0] : b[-1]]).of(a - a[0], b - a[0]) >> np.uint64(56)).astype(np.uint8))
+    return np.concatenate(out).tobytes()
+
+
 def coded(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, text): each word of a text (without ASCII white space) as two bytes of its hash."""
+    """(doc_id, row, text): each text as its words' codes."""
 
     def run(batches):
         for b in batches:
-            out = []
-            for t in b.column(2):
-                w = data(t.as_py()).split()
-                if not w:
-                    out.append(b"")
-                    continue
-                end = np.cumsum(np.fromiter(map(len, w), dtype=np.int64, count=len(w)) + 1) - 1
-                start = np.concatenate(([0], end[:-1] + 1))
-                h = [Hashed(np.frombuffer(b" ".join(w[k : k + WORDS]), dtype=np.uint8)).of(start[k : k + WORDS] - start[k], end[k : k + WORDS] - start[k]) for k in range(0, len(w), WORDS)]
-                out.append((np.concatenate(h) >> np.uint64(48)).astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, type=pa.binary())], names=["doc_id", "row", "text"])
+            codes = pa.array([word_codes(data(t.as_py())) for t in b.column(2)], type=pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), codes], names=["doc_id", "row", "text"])
 
     return docs.mapInArrow(run, "doc_id long, row long, text binary")
 
 
 def shared_passages(docs: DataFrame, words: int = 51) -> DataFrame:
-    """(doc_id, row) of the documents that hold a passage of so many words that another one holds, too, whatever white space parts them. The same method as for bytes, on two bytes a word."""
-    return repeated(cut(coded(docs), "coded"), 2 * words, words // 2, once=True).select("doc_id", "row").distinct()
+    """(doc_id, row) of the documents that hold a passage of so many words that another one holds, too, whatever white space parts them. The same method as for bytes, on one byte a word: so many of them are as good as a long hash."""
+    return repeated(cut(coded(docs), "coded"), words, words // 3, once=True).select("doc_id", "row").distinct()
 
 
 def op6_suffixes(docs: DataFrame) -> DataFrame:
