@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .tables import cut
+
 
 def runs(df: DataFrame, key: str, frame: str, name: str = "run") -> DataFrame:
     """Adds an island key that consecutive frames of a key share: frame minus its row number, so that only the key's rows meet in a window."""
@@ -92,31 +94,50 @@ def between_keys(left: DataFrame, right: DataFrame, keys: list[str], at: str, va
     return out.select(*[c for c in left.columns if c != values], pick.alias(values))
 
 
-def suppress(items: Column, distance: int) -> Column:
-    """Greedy choice along an array of structs with field `frame`, in its order: an item stays if no chosen one is nearer than `distance`."""
-    none = F.filter(items, lambda x: F.lit(False))
-    return F.aggregate(items, none, lambda kept, x: F.when(F.exists(kept, lambda k: F.abs(k["frame"] - x["frame"]) < distance), kept).otherwise(F.concat(kept, F.array(x))))
-
-
-def row_index(df: DataFrame, keys: list[str], order: str, ties: list[str], name: str, parts: int = 64, descending: bool = False) -> DataFrame:
-    """df with each row's place in its key's order, from 0 (nulls of a numeric `order` last), without a task that sorts a whole key.
+def row_index(df: DataFrame, keys: list[str], order: str, ties: list[str], name: str, descending: bool = False) -> DataFrame:
+    """df with each row's place in its key's order, from 0 (nulls of `order` last), without a task that sorts a whole key.
 
-    Fixed bounds, approximate quantiles of the order, cut it into parts; a row's place is the number of its key's rows in the parts before, and its place in its own part. Bounds only balance the parts, so that the result doesn't depend on them.
+    Rows are sorted once, in ranges of (keys, order, ties), and written with their range and place in it; a key's place is what its earlier ranges hold and its place in its own.
+    A key of any size, or an order value that many rows share, is spread over as many ranges as it fills. Ties beyond `ties` fall as they come.
     """
-    bounds = sorted(set(df.approxQuantile(order, [k / parts for k in range(1, parts)], 0.005)))
-    at = F.lit(len(bounds)).cast("long") if not bounds else F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(order))).cast("long")
-    part = (len(bounds) - at) if descending else at
-    t = df.withColumn("_part", F.when(F.col(order).isNull(), F.lit(len(bounds) + 1).cast("long")).otherwise(part))
-    n = t.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # `parts` rows a key
-    n = n.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_q"), F.coalesce(before, F.lit(0)).alias("_before"))
+    by = F.col(order).desc_nulls_last() if descending else F.col(order).asc_nulls_last()
+    parts = [*keys, by, *ties]
+    low = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    t = cut(df.repartitionByRange(*parts).sortWithinPartitions(*parts).withColumn("_part", F.spark_partition_id()).withColumn("_at", low), "sorted")
+    own = t.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range of a key
+    own = own.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_q"), "_first", F.coalesce(before, F.lit(0)).alias("_before"))
     same = F.col("_part") == F.col("_q")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    by = F.col(order).desc_nulls_last() if descending else F.col(order).asc_nulls_last()
-    rank = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(by, *ties)) - 1
-    out = t.withColumn("_r", rank).join(n, same)
-    return out.withColumn(name, F.col("_before") + F.col("_r")).drop("_part", "_r", "_q", "_before", *[f"_k_{k}" for k in keys])
+    return t.join(own, same).withColumn(name, F.col("_at") - F.col("_first") + F.col("_before")).drop("_part", "_at", "_q", "_first", "_before", *[f"_k_{k}" for k in keys])
+
+
+def percentile(df: DataFrame, keys: list[str], value: str, part: float, name: str) -> DataFrame:
+    """(keys, name): the exact percentile of a key's values, linear between two of them, without a buffer or a sort of all values of a key; one row without keys, none for keys whose values are all null.
+
+    Approximate quantiles on either side of it leave a few thousandths of the rows (all of a small key); the equal ones of these are counted and their running count has the value.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    ends = F.percentile_approx("_v", F.array(F.lit(max(0.0, part - 0.002)), F.lit(min(1.0, part + 0.002))), F.lit(5000))
+    bound = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), ends.alias("_e"))
+    small = F.col("_n") < 2000
+    bound = bound.select(*keys, ((F.col("_n") - 1) * part).alias("_r"), F.when(small, F.col("_lo")).otherwise(F.get("_e", F.lit(0))).alias("_lo"), F.when(small, F.col("_hi")).otherwise(F.get("_e", F.lit(1))).alias("_hi"))
+    near = (rows.join(bound, keys) if keys else rows.crossJoin(F.broadcast(bound))).where("_v <= _hi")  # without keys: one row
+    per = near.groupBy(*keys, "_r", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()))
+    per = per.withColumn("_upto", upto)
+    at = lambda r: F.min(F.when(F.col("_upto") > r, F.col("_v")))
+    out = per.groupBy(*keys, "_r").agg(at(F.floor("_r")).alias("_a"), at(F.ceil("_r")).alias("_b"))
+    # the next larger value may lie beyond the bound only where the bound is the largest one
+    return out.select(*keys, (F.col("_a") + (F.coalesce("_b", "_a") - F.col("_a")) * (F.col("_r") - F.floor("_r"))).alias(name))
+
+
+def with_edges(df: DataFrame, keys: list[str], frame: str, size: int, halo: int) -> DataFrame:
+    """df in blocks of `size` frames, `_block`, with `halo` frames of both neighbours; `_own` tells a block's own rows. A window over (keys, _block) then sees what a window over keys sees that reaches no further."""
+    b = F.floor(F.col(frame) / size)
+    t = df.withColumn("_block", F.explode(F.array_distinct(F.array(F.floor((F.col(frame) - halo) / size), b, F.floor((F.col(frame) + halo) / size)))))
+    return t.withColumn("_own", F.floor(F.col(frame) / size) == F.col("_block"))
 
 
 def round_robin(df: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:

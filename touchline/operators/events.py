@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from touchline.functions import seq
 from touchline.functions.geom import distance
+from touchline.functions.tables import cut
 
 
 def shielding(owned: DataFrame, players: DataFrame, teams: DataFrame, reach: float, least: int) -> DataFrame:
@@ -84,17 +85,11 @@ def signal_z(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame
     return s.join(per, key).withColumn("z", F.round(z, 5)).drop("_n", "_s", "_q")
 
 
-def peaks(df: DataFrame, key: str, frame: str, score: str, distance_: int) -> DataFrame:
-    """Greedy non-maximum suppression within each key: candidates by falling score, one stays if no kept one is nearer. Meant for keys with few candidates."""
-    item = F.struct((-F.col(score)).alias("s"), F.col(frame).alias("frame"))
-    kept = seq.suppress(F.array_sort(F.collect_list(item)), distance_)
-    return df.groupBy(key).agg(kept.alias("k")).select(key, F.explode("k").alias("k")).select(key, F.col("k.frame").alias(frame), (-F.col("k.s")).alias(score))
-
-
 def above_percentile(df: DataFrame, frame: str, score: str, percentile: float, margin: int) -> DataFrame:
     """Rows whose score reaches the percentile of all scores, away from the first and last `margin` frames."""
-    lim = df.agg(F.percentile(score, F.lit(percentile)).alias("_t"), F.min(frame).alias("_lo"), F.max(frame).alias("_hi"))  # one row
-    t = df.crossJoin(F.broadcast(lim)).where(F.col(score) >= F.col("_t"))
+    ends = df.agg(F.min(frame).alias("_lo"), F.max(frame).alias("_hi"))  # one row
+    lim = seq.percentile(df, [], score, percentile, "_t")  # one row
+    t = df.crossJoin(F.broadcast(lim)).crossJoin(F.broadcast(ends)).where(F.col(score) >= F.col("_t"))
     return t.where(F.col(frame).between(F.col("_lo") + margin, F.col("_hi") - margin)).drop("_t", "_lo", "_hi")
 
 
@@ -104,3 +99,30 @@ def visible(frames: DataFrame, gap: int) -> DataFrame:
     iv = s.groupBy("gid", "part").agg(F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame"), F.count("*").alias("n"))
     w = Window.partitionBy("gid").orderBy("start_frame").rowsBetween(Window.unboundedPreceding, -1)
     return iv.withColumn("offset", F.coalesce(F.sum(F.col("end_frame") - F.col("start_frame") + 1).over(w), F.lit(0))).drop("part")
+
+
+def compilation(intervals: DataFrame, key: str) -> DataFrame:
+    """A key's stretches of source time (start, end), in seconds, one after the other: (key, source_start, source_end, compilation_start, duration)."""
+    w = Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    length = F.col("end") - F.col("start")
+    return intervals.select(key, F.col("start").alias("source_start"), F.col("end").alias("source_end"), F.coalesce(F.sum(length).over(w), F.lit(0.0)).alias("compilation_start"), length.alias("duration"))
+
+
+def seen_times(frames: DataFrame, key: str, fps: float, gap: float = 1.5, pad: float = 0.35) -> DataFrame:
+    """(key, start, end) in seconds: where a key's frames (key, frame) are at most `gap` seconds apart, widened by `pad`."""
+    s = seq.sessions(frames.select(key, "frame").distinct(), key, "frame", max(1, round(fps * gap)), "_part")
+    return s.groupBy(key, "_part").agg(F.greatest(F.lit(0.0), F.min("frame") / fps - pad).alias("start"), ((F.max("frame") + 1) / fps + pad).alias("end")).drop("_part")
+
+
+def retimed(boxes: DataFrame, timeline: DataFrame, key: str, fps: float, stride: int | None = None, width: int = 32) -> DataFrame:
+    """boxes (key, frame, ...) at every stride-th frame (about 15 a second by default) with their source_time and their time in the compilation; those outside its stretches go.
+
+    Boxes meet stretches [source_start, source_end) in buckets of `width` seconds; where stretches overlap the earlier one has the box.
+    """
+    stride = stride or max(1, round(fps / 15.0))
+    t = boxes.where(F.col("frame") % stride == 0).withColumn("source_time", F.col("frame") / fps).withColumn("_row", F.monotonically_increasing_id())
+    t = cut(t, "boxes")
+    hit = seq.range_join(t.select(key, "source_time", "_row"), timeline, "source_time", "source_start", "source_end", width, [key], half_open=True)
+    first = hit.groupBy("_row").agg(F.min(F.struct("source_start", "source_end", "compilation_start")).alias("_s"))
+    time = F.col("_s.compilation_start") + F.col("source_time") - F.col("_s.source_start")
+    return t.join(first, "_row").withColumn("time", F.round(time, 3)).withColumn("source_time", F.round("source_time", 3)).drop("_row", "_s")

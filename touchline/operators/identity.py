@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from touchline.functions import seq
+
 
 def squared(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda p, q: (p.cast("double") - q.cast("double")) * (p.cast("double") - q.cast("double"))), F.lit(0.0), lambda s, v: s + v)
@@ -116,45 +118,91 @@ def open_switches(rows: DataFrame, key: str, frame: str, mode: str, span: int, l
     return per.select(key, F.explode("c").alias("c")).select(key, F.col("c.f").alias("cut_frame"), F.col("c.b").alias("before_mode"), F.col("c.a").alias("after_mode"), F.col("c.s").alias("support"))
 
 
-def local_changes(rows: DataFrame, window: int = 8, least: float = 0.35, ratio: float = 2.2, floor: float = 0.035, horizon: int = 30, back: float = 0.20) -> DataFrame:
+def local_changes(rows: DataFrame, window: int = 8, least: float = 0.35, ratio: float = 2.2, floor: float = 0.035, horizon: int = 30, back: float = 0.20, block: int = 2048) -> DataFrame:
     """rows (gid, frame, feature) -> (gid, cut_frame, distance, ratio): lasting changes of a track's own appearance, without any colour model.
 
-    The median features of `window` rows before and after a frame, over unit length, differ by `least` and by `ratio` times their usual spread; both sides span at most three windows.
-    Of neighbouring candidates the one of the largest ratio stays; one that the next takes back goes with it. A track's rows meet in one task.
+    The median features of `window` rows before and after a row, over unit length, differ by `least` and by `ratio` times their usual spread; both sides span at most three windows.
+    Of neighbouring candidates the one of the largest ratio stays; one that the next takes back goes with it. A track's rows are looked at in blocks of so many, with a window of rows on either side; its candidates meet in one task.
     """
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    def medians(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each `window` rows in turn: their median over unit length, and the median distance to it."""
+        w = np.lib.stride_tricks.sliding_window_view(x, window, axis=0)  # (places, dim, window)
+        mid = np.median(w, axis=2)
+        mid = mid / np.maximum(np.linalg.norm(mid, axis=1, keepdims=True), 1e-9)
+        return mid, np.median(np.linalg.norm(w - mid[:, :, None], axis=1), axis=1)
+
+    def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame")
-        f, x = pdf["frame"].to_numpy(), np.array([np.asarray(v, dtype=float) for v in pdf["feature"]])
-        fine = np.isfinite(x).all(axis=1) & (np.linalg.norm(x, axis=1) > 1e-6)
-        f, x = f[fine], x[fine]
-        found: list[tuple] = []
-        for k in range(window, len(f) - window + 1):
-            sides = (slice(k - window, k), slice(k, k + window))
-            if any(f[s][-1] - f[s][0] > 3 * window for s in sides):
-                continue
-            mid = [np.median(x[s], axis=0) for s in sides]
-            mid = [m / max(np.linalg.norm(m), 1e-9) for m in mid]
-            d = float(np.linalg.norm(mid[0] - mid[1]))
-            spread = sum(float(np.median(np.linalg.norm(x[s] - m, axis=1))) for s, m in zip(sides, mid))
-            r = d / max(spread, floor)
-            if d >= least and r >= ratio:
-                item = (int(f[k]), d, r, *mid)
-                if found and item[0] - found[-1][0] <= window:
-                    found[-1] = max(found[-1], item, key=lambda i: i[2])
-                else:
-                    found.append(item)
+        f, own, x = pdf["frame"].to_numpy(), pdf["own"].to_numpy(), np.array([np.asarray(v, dtype=float) for v in pdf["feature"]])
+        if len(f) < 2 * window:
+            return pd.DataFrame([], columns=["gid", "cut_frame", "distance", "ratio", "before", "after"], dtype=object)
+        mid, usual = medians(x)
+        k = np.arange(window, len(f) - window + 1)  # the first row of the later side
+        short = f[window - 1 :] - f[: len(f) - window + 1] <= 3 * window
+        d = np.linalg.norm(mid[k - window] - mid[k], axis=1)
+        r = d / np.maximum(usual[k - window] + usual[k], floor)
+        k, d, r = (v[own[k] & short[k - window] & short[k] & (d >= least) & (r >= ratio)] for v in (k, d, r))
+        sides = {n: pd.Series(list(mid[j]), dtype=object) for n, j in (("before", k - window), ("after", k))}
+        return pd.DataFrame({"gid": np.full(len(k), pdf["gid"].iloc[0]), "cut_frame": f[k], "distance": d, "ratio": r, **sides})
+
+    def settled(pdf: pd.DataFrame) -> pd.DataFrame:
+        found: list = []
+        for item in pdf.sort_values("cut_frame").itertuples(index=False):
+            if found and item.cut_frame - found[-1].cut_frame <= window:
+                found[-1] = max(found[-1], item, key=lambda i: i.ratio)
+            else:
+                found.append(item)
         out, k = [], 0
         while k < len(found):
-            if k + 1 < len(found) and found[k + 1][0] - found[k][0] <= horizon and np.linalg.norm(found[k][3] - found[k + 1][4]) <= back:
+            if k + 1 < len(found) and found[k + 1].cut_frame - found[k].cut_frame <= horizon and np.linalg.norm(found[k].before - found[k + 1].after) <= back:
                 k += 2
                 continue
-            out.append((pdf["gid"].iloc[0], *found[k][:3]))
+            out.append(found[k][:4])
             k += 1
         return pd.DataFrame(out, columns=["gid", "cut_frame", "distance", "ratio"])
 
-    fine = F.col("feature").isNotNull() & F.forall("feature", lambda v: v.isNotNull())
-    return rows.where(fine).select(F.col("gid").cast("long").alias("gid"), F.col("frame").cast("long").alias("frame"), "feature").groupBy("gid").applyInPandas(one, "gid long, cut_frame long, distance double, ratio double")
+    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    length = F.sqrt(F.aggregate("feature", F.lit(0.0), lambda s, v: s + v * v))
+    t = rows.select(F.col("gid").cast("long").alias("gid"), F.col("frame").cast("long").alias("frame"), F.col("feature").cast("array<double>").alias("feature"))
+    t = t.where(F.col("feature").isNotNull() & F.forall("feature", finite)).where(length > 1e-6)
+    t = seq.with_edges(t.withColumn("k", F.row_number().over(Window.partitionBy("gid").orderBy("frame"))), ["gid"], "k", block, window)
+    t = t.select("gid", "frame", "feature", F.col("_own").alias("own"), "_block").groupBy("gid", "_block")
+    found = t.applyInPandas(candidates, "gid long, cut_frame long, distance double, ratio double, before array<double>, after array<double>")
+    return found.groupBy("gid").applyInPandas(settled, "gid long, cut_frame long, distance double, ratio double")
+
+
+def apart(rows: DataFrame, group: list[str], frames: int, metres: float) -> DataFrame:
+    """(group, a, b, frames, separation): pairs of ids that are one by their group (a team and number, say) but are seen in at least so many frames together, with a median distance of over `metres`.
+
+    rows (group, gid, frame, x, y), a row per id and frame. Ids meet by group and frame; the median is that of seq.percentile(), without an array for each pair.
+    """
+    side = lambda n: rows.select(*group, "frame", F.col("gid").alias(n), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"))
+    both = side("a").join(side("b"), [*group, "frame"]).where("a < b")
+    both = both.select(*group, "a", "b", F.hypot(F.col("xa") - F.col("xb"), F.col("ya") - F.col("yb")).alias("d"))
+    pairs = [*group, "a", "b"]
+    often = both.groupBy(*pairs).agg(F.count("*").alias("frames")).where(F.col("frames") >= frames)
+    middle = seq.percentile(both, pairs, "d", 0.5, "separation")
+    return often.join(middle, pairs).where(F.col("separation") > metres).withColumn("separation", F.round("separation", 3))
+
+
+def merge_candidates(ids: DataFrame, rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(gid, candidate, compatible, linked, reasons) of each chosen id (gid) against all others: which may be the same person, and why not.
+
+    ids (gid, team, person, number; blanks and nulls are unknown), rows (gid, frame). Reasons are joined by ';': `team` and `number` where both are known and differ, `together:n` where the two
+    are seen in the same n frames, `person` where each belongs to another one; `linked` where they are one person already. The chosen ids are a stated few; frames are met by equality.
+    """
+    known = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
+    cols = [known(c).alias(c) for c in ("team", "person", "number")]
+    every = ids.select(F.col("gid").alias("candidate"), *cols)
+    mine = ids.join(chosen.select("gid").distinct(), "gid", "left_semi").select("gid", *[c.alias(f"own_{n}") for c, n in zip(cols, ("team", "person", "number"))])
+    seen = rows.select("gid", "frame").distinct()
+    own = seen.join(chosen.select("gid").distinct(), "gid", "left_semi")
+    shared = own.join(seen.withColumnRenamed("gid", "candidate"), "frame").where("gid <> candidate").groupBy("gid", "candidate").agg(F.count("*").alias("n"))
+    t = every.join(mine, F.col("candidate") != F.col("gid")).join(shared, ["gid", "candidate"], "left")
+    differ = lambda c: F.when(F.col(c) != F.col(f"own_{c}"), F.lit(c))
+    reasons = F.concat_ws(";", differ("team"), F.when(F.col("n") > 0, F.concat(F.lit("together:"), F.col("n").cast("string"))), differ("person"), differ("number"))
+    return t.select("gid", "candidate", (reasons == "").alias("compatible"), F.coalesce(F.col("person") == F.col("own_person"), F.lit(False)).alias("linked"), reasons.alias("reasons"))
 
 
 def new_ids(rows: DataFrame, key: str, segment: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from touchline.functions import attributes, geom, scalars, seq
-from touchline.operators import events, identity, motion, players, reviews, running, tracklets
+from touchline.operators import candidates, events, identity, motion, players, reviews, running, tracklets
 
 from .registry import query, rnd
 
@@ -121,7 +121,7 @@ _THR = "SELECT quantile_cont(x, 0.9) FROM ticks"
 @query(f"SELECT gid, k.frame AS frame, -k.s AS x FROM (SELECT gid, unnest(k) AS k FROM (SELECT gid, list_reduce(list([struct_pack(s := -x, frame := frame)] ORDER BY -x, frame), lambda acc, e: CASE WHEN len(list_filter(acc, lambda k: abs(k.frame - e[1].frame) < 5)) > 0 THEN acc ELSE acc || e END) AS k FROM ticks, (SELECT min(frame) AS lo, max(frame) AS hi FROM ticks) WHERE x >= ({_THR}) AND frame BETWEEN lo + 3 AND hi - 3 GROUP BY gid))", "ticks")
 def nms_percentile(v):
     t = events.above_percentile(v.ticks(), "frame", "x", 0.9, 3)
-    return events.peaks(t, "gid", "frame", "x", 5)
+    return candidates.suppressed(t, ["gid"], "frame", "x", 5)
 
 
 _EL = "SELECT gid, frame, x, y, run FROM (SELECT *, count(*) OVER (PARTITION BY gid, run) AS c FROM (SELECT gid, frame, x, y, frame - row_number() OVER (PARTITION BY gid ORDER BY frame) AS run FROM (SELECT gid, frame, any_value(x) AS x, any_value(y) AS y FROM det GROUP BY gid, frame HAVING count(*) = 1) WHERE x BETWEEN 2.0 AND 43.0 AND y BETWEEN 1.0 AND 24.0)) WHERE c >= 3"
@@ -273,10 +273,18 @@ def team_switch_openset(v):
     return identity.open_switches(m, "gid", "frame", "mode", 5, 3, 0.7, 6)
 
 
-@query(None)
+# tracks of 100 vectors whose main direction may change every 25: medians of eight rows must find each change, and no other, within four rows
+_PART = "SELECT gid, part, part * 25 AS cut_frame, n, (gid * 7 + part * (gid % 5 + 1)) % 3 AS axis FROM (SELECT vec_id // 100 AS gid, vec_id // 25 % 4 AS part, count(*) AS n FROM embeddings WHERE embedding IS NOT NULL GROUP BY ALL)"
+
+
+@query(f"SELECT a.gid, a.cut_frame AS change, true AS near FROM ({_PART}) a JOIN ({_PART}) b ON a.gid = b.gid AND b.part = a.part - 1 WHERE a.axis <> b.axis AND a.n = 25 AND b.n = 25")
 def local_feature_change(v):
-    x = v.table("events").groupBy(F.col("user_id").cast("int").alias("gid"), F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 86400).cast("int").alias("frame")).agg(F.avg("value").alias("a"), F.max("value").alias("b"), F.count("*").alias("c"))
-    return identity.local_changes(x.select("gid", "frame", F.array("a", "b", F.col("c").cast("double")).alias("feature")), 4, 0.2, 1.1)
+    gid, part = F.expr("vec_id div 100"), F.expr("vec_id div 25 % 4")
+    axis = (gid * 7 + part * (gid % 5 + 1)) % 3
+    main = F.array(*[F.when(axis == k, 1.0).otherwise(0.0) for k in range(3)])
+    x = v.table("embeddings").where("embedding is not null").select(gid.alias("gid"), (F.col("vec_id") % 100).alias("frame"), F.concat(main, F.transform("embedding", lambda e: e.cast("double") * 0.2)).alias("feature"))
+    change = F.expr("(cut_frame + 12) div 25 * 25")
+    return identity.local_changes(x, 8, horizon=20).select("gid", change.alias("change"), (F.abs(F.col("cut_frame") - change) <= 4).alias("near"))
 
 
 @query("SELECT t.gid, t.frame, CASE WHEN segment = 0 THEN CAST(t.gid AS BIGINT) ELSE (SELECT max(gid) FROM ticks) + rank END AS new_gid FROM (SELECT gid, frame, frame // 40 AS segment0, dense_rank() OVER (PARTITION BY gid ORDER BY frame // 40) - 1 AS segment FROM ticks) t LEFT JOIN (SELECT gid AS g, segment AS s, row_number() OVER (ORDER BY gid, segment) AS rank FROM (SELECT DISTINCT gid, dense_rank() OVER (PARTITION BY gid ORDER BY frame // 40) - 1 AS segment FROM ticks) WHERE segment > 0) ON g = t.gid AND s = segment", "ticks")

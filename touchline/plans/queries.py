@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from touchline.functions import geom, seq
-from touchline.operators import events, identity, possession, running, tracks, views
+from touchline.operators import candidates, events, identity, possession, running, tracks, views
 from touchline.streaming import windows
 
-from . import attribute_queries, player_queries  # noqa: F401  register their queries
+from . import attribute_queries, match_queries, player_queries  # noqa: F401  register their queries
 from .registry import ORACLES, QUERIES, query, rnd  # noqa: F401
 
 
@@ -257,7 +257,7 @@ NMS = "SELECT gid, list_reduce(list([struct_pack(s := -x, frame := frame)] ORDER
 
 @query(f"SELECT gid, k.frame AS frame, -k.s AS x FROM (SELECT gid, unnest(k) AS k FROM ({NMS}))", "ticks")
 def nms_peaks(v):
-    return events.peaks(v.ticks().where("x > 50"), "gid", "frame", "x", 5)
+    return candidates.suppressed(v.ticks().where("x > 50"), ["gid"], "frame", "x", 5)
 
 
 # ---- identity ----
