@@ -10,6 +10,8 @@ from touchline.functions import seq
 from touchline.functions.geom import distance
 from touchline.functions.tables import cut
 
+from . import candidates
+
 
 def shielding(owned: DataFrame, players: DataFrame, teams: DataFrame, reach: float, least: int) -> DataFrame:
     """Intervals of at least so many owned frames, as many of them under pressure: an opponent (any id of another or no team) within reach. The anchor is the closest one, the first on ties."""
@@ -85,6 +87,11 @@ def signal_z(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame
     return s.join(per, key).withColumn("z", F.round(z, 5)).drop("_n", "_s", "_q")
 
 
+def peaks(df: DataFrame, key: str, frame: str, score: str, distance_: int) -> DataFrame:
+    """Greedy non-maximum suppression within each key; see candidates.suppressed()."""
+    return candidates.suppressed(df, [key], frame, score, distance_)
+
+
 def above_percentile(df: DataFrame, frame: str, score: str, percentile: float, margin: int) -> DataFrame:
     """Rows whose score reaches the percentile of all scores, away from the first and last `margin` frames."""
     ends = df.agg(F.min(frame).alias("_lo"), F.max(frame).alias("_hi"))  # one row

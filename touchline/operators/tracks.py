@@ -17,10 +17,11 @@ def best_per_frame(det: DataFrame, keys: list[str], order: list[str], by: str |
     return det.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("_m")).select(*keys, "_m.*")
 
 
-def best_by_line(det: DataFrame, keys: list[str], conf: str, line: str) -> DataFrame:
-    """Of each key's rows the one of the highest confidence, the first line on ties, and how many others were removed."""
+def best_by_line(det: DataFrame, keys: list[str], conf: str, *line: str) -> DataFrame:
+    """Of each key's rows the one of the highest confidence (null is the lowest), the first by `line` on ties, and how many others were removed."""
     rest = [c for c in det.columns if c not in keys]
-    per = det.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.col(conf), -F.col(line))).alias("_m"), (F.count("*") - 1).alias("removed"))
+    place = F.struct(F.coalesce(-F.col(conf), F.lit(float("inf"))), *line)
+    per = det.groupBy(*keys).agg(F.min_by(F.struct(*rest), place).alias("_m"), (F.count("*") - 1).alias("removed"))
     return per.select(*keys, "_m.*", "removed")
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from touchline.functions import seq
+from touchline.functions import seq, tables
 from touchline.operators import candidates, clusters, events, field, identity, reviews, timeline, transitions
+from touchline.sources import track_files
 
 from .registry import query, rnd
 
@@ -283,6 +284,20 @@ def ledger_matched(v):
     return timeline.annotated(ledger, found, ids, 60.0, ["user_id"])
 
 
+# ---- files ----
+
+
+@query("SELECT frame, gid, round(x, 1) AS x, round(y, 1) AS y, round(conf, 3) AS conf FROM dedup WHERE gid IN (1, 3) AND frame >= 100 AND frame < 30000", "dedup")
+def track_source(v):
+    """Detections written and read back by the track source, which tests ids and frames itself."""
+    track_files.register(v.spark)
+    path = tables.new_path(v.spark, "tracks")
+    d = v.dedup().select(F.col("frame").alias("frame_proc"), F.col("gid").alias("global_id"), "x", "y", F.lit(1.0).alias("w"), F.lit(2.0).alias("h"), F.col("conf").alias("confidence"))
+    d.write.format("tracks").mode("append").save(path)
+    t = v.spark.read.format("tracks").load(path).where("global_id in (1, 3) and frame_proc >= 100 and frame_proc < 30000")
+    return t.select(F.col("frame_proc").alias("frame"), F.col("global_id").alias("gid"), "x", "y", F.col("confidence").alias("conf"))
+
+
 # ---- packages ----
 
 _PK = "SELECT c_custkey AS player, * FROM customer"

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from touchline.operators import tracks
+
+from . import lines
 from .mot import SCHEMA
 
 #: Header names that mean the same in rosters.
@@ -27,16 +30,25 @@ def read_mot_part(spark: SparkSession, path: str, ids: list[int] | None = None,
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) of a text file, lines counted from 0 in the file's order; the file's lines are taken as one row, so this is for files that fit a task."""
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+    """(line, value) of a text file, lines counted from 0 in the file's order; any number of tasks read it."""
+    return lines.numbered(lines.read_lines(spark, path)).select((F.col("line") - 1).cast("int").alias("line"), "value")
 
 
 def read_boxes(spark: SparkSession, path: str) -> DataFrame:
-    """(global_id, frame, x, y, w, h), frames counted from 1 as in the file; of an id's rows of a frame the last line stays."""
-    f = F.split("value", ",")
-    n = lambda k: F.get(f, F.lit(k)).try_cast("double")
-    rows = numbered_lines(spark, path).where(F.size(f) >= 6).select("line", n(0).cast("int").alias("frame"), n(1).cast("int").alias("global_id"), *[n(k + 2).alias(c) for k, c in enumerate("xywh")])
-    return rows.where("frame is not null and global_id is not null").groupBy("global_id", "frame").agg(F.max_by(F.struct("x", "y", "w", "h"), "line").alias("b")).select("global_id", "frame", "b.*")
+    """(global_id, frame, x, y, w, h), frames counted from 1 as in the file; of an id's rows of a frame the last line stays. Files of a folder follow each other by name."""
+    f = lines.fields(F.col("value"), 6)
+    rows = lines.read_lines(spark, path).where(F.size(F.split("value", ",")) >= 6)
+    rows = rows.select("_file", "_line", f[0].cast("int").alias("frame"), f[1].cast("int").alias("global_id"), *[f[k + 2].alias(c) for k, c in enumerate("xywh")])
+    last = F.max_by(F.struct("x", "y", "w", "h"), F.struct("_file", "_line"))
+    return rows.where("frame is not null and global_id is not null").groupBy("global_id", "frame").agg(last.alias("b")).select("global_id", "frame", "b.*")
+
+
+def read_best(spark: SparkSession, path: str) -> DataFrame:
+    """Detections without repeated (frame, id): the one of the highest confidence stays, the first line on ties; `removed` tells how many went. Lines without the seven numbers are left out."""
+    f = lines.fields(F.col("value"), 7)
+    rows = lines.read_lines(spark, path).select((f[0].cast("int") - 1).alias("frame_proc"), f[1].cast("int").alias("global_id"), *[f[k + 2].alias(c) for k, c in enumerate(("x", "y", "w", "h", "confidence"))], "_file", "_line")
+    rows = rows.na.drop(subset=["frame_proc", "global_id", "x", "y", "w", "h", "confidence"])
+    return tracks.best_by_line(rows, ["frame_proc", "global_id"], "confidence", "_file", "_line").drop("_file", "_line")
 
 
 def track_ids(spark: SparkSession, path: str) -> DataFrame:

@@ -5,17 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import lines
+
 SCHEMA = "frame double, global_id double, x double, y double, w double, h double, confidence double, a double, b double, c double"
 
 
 def read_mot(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """Detections with frame_proc counted from 0. strict: a file without rows is an error here; fewer than seven fields, a frame below 1 or a repeated (frame, id) fail the query, where they are read."""
-    rows = spark.read.schema(SCHEMA).csv(path).where("frame is not null")
+    """Detections with frame_proc counted from 0. strict: a file without rows is an error here; a line that isn't empty and lacks one of the seven numbers, a frame below 1 or a repeated (frame, id) fail the query, where they are read. Else lines without a frame are left out."""
     if strict:
-        if rows.isEmpty():
+        text = spark.read.text(path).where(F.trim("value") != "")
+        if text.isEmpty():
             raise ValueError(f"no detections in {path}")
-        whole = F.assert_true(F.col("confidence").isNotNull() & (F.col("frame") >= 1), F.lit("a line has fewer than seven fields or a frame below 1"))
-        rows = rows.where(whole.isNull())
+        n = lines.fields(F.col("value"), 7)
+        whole = F.lit(True)
+        for c in n:
+            whole = whole & c.isNotNull()
+        told = F.assert_true(whole & (n[0] >= 1), F.concat(F.lit("a line lacks one of seven numbers or has a frame below 1: "), F.substring("value", 1, 80)))
+        rows = text.where(told.isNull()).select(*[c.alias(x) for c, x in zip(n, ("frame", "global_id", "x", "y", "w", "h", "confidence"))])
+    else:
+        rows = spark.read.schema(SCHEMA).csv(path).where("frame is not null")
     out = rows.select((F.col("frame").cast("int") - 1).alias("frame_proc"), F.col("global_id").cast("int").alias("global_id"), "x", "y", "w", "h", "confidence")
     if not strict:
         return out
@@ -31,15 +39,15 @@ def write_mot(df: DataFrame, path: str) -> None:
     df.orderBy("frame_proc", "global_id").select(line.alias("value")).write.mode("errorifexists").text(path)
 
 
-def read_ball(spark: SparkSession, path: str) -> DataFrame:
-    """Observed ball points of one file; a missing flag counts as observed, of a frame's rows the last one stays. A file without rows is an error."""
-    # one task reads a file's lines in order
-    rows = spark.read.option("header", True).option("multiLine", True).csv(path).withColumn("_n", F.monotonically_increasing_id())
-    if rows.isEmpty():
-        raise ValueError(f"no ball positions in {path}")
+def read_ball(spark: SparkSession, path: str, what: str = "ball positions") -> DataFrame:
+    """Observed ball points; a missing flag counts as observed, of a frame's rows the last line stays (files of a folder follow each other by name). No rows, or none that are observed, are an error."""
+    rows = lines.in_order(spark.read.option("header", True).csv(path))
     seen = F.lower(F.trim(F.coalesce(F.col("observed"), F.lit("1")))).isin("1", "true", "yes") if "observed" in rows.columns else F.lit(True)
-    last = lambda c: F.max_by(F.col(c).cast("double"), "_n").alias(c)
-    return rows.where(seen).groupBy(F.col("frame_proc").cast("double").cast("int").alias("frame_proc")).agg(last("ball_x_px"), last("ball_y_px"))
+    rows = rows.where(seen)
+    if rows.isEmpty():
+        raise ValueError(f"no {what} in {path}")
+    last = lambda c: F.max_by(F.col(c).cast("double"), F.struct("_file", "_line")).alias(c)
+    return rows.groupBy(F.col("frame_proc").cast("double").cast("int").alias("frame_proc")).agg(last("ball_x_px"), last("ball_y_px"))
 
 
 def read_team_map(spark: SparkSession, path: str) -> DataFrame:
