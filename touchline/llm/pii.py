@@ -92,6 +92,17 @@ def fold() -> tuple[dict[str, str], re.Pattern]:
     return table, re.compile("[" + "".join(map(re.escape, table)) + "]")
 
 
+_ASCII = bytes(range(128))
+
+
+def folds(text: str) -> bool:
+    """Whether the text holds a character that is normalised. What isn't ASCII is little of most texts, and is taken out of the bytes before it is looked at."""
+    if text.isascii():
+        return False
+    rest = text.encode("utf-8", "surrogatepass").translate(None, _ASCII).decode("utf-8", "surrogatepass")
+    return not fold()[0].keys().isdisjoint(set(rest))
+
+
 def normalise(text: str) -> tuple[str, list[int], list[int]]:
     """The text without disguises, and for each of its characters the source characters [start, end) that it stands for.
 
@@ -134,7 +145,7 @@ def normalise(text: str) -> tuple[str, list[int], list[int]]:
 def find(text: str) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans), each by kind as listed, then start. Spans found in the normalised text come in unless they are equal to a base span of their kind or lie in one."""
     base = base_spans(text)
-    if not (HINT.search(text) or (not text.isascii() and fold()[1].search(text))):
+    if not (folds(text) or HINT.search(text)):
         return base, base
     flat, lo, hi = normalise(text)
     added = []
