@@ -487,9 +487,55 @@ def coded(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, row long, text binary")
 
 
+def anchors(coded: DataFrame, words: int, core: int) -> DataFrame:
+    """(who, key, ctx, s, n): anchored runs of windows of so many words, each of a document's different contexts once. `who` stands for a document (doc_id, row)."""
+
+    def run(batches):
+        for b in batches:
+            got = [(k, *anchored(x, words, core)) for k, t in enumerate(b.column(1)) if len(x := np.frombuffer(t.as_py(), dtype=np.uint8)) >= words]
+            first = [np.sort(np.unique(g[5], return_index=True)[1]) for g in got]
+            who = b.column(0).take(pa.array(np.concatenate([np.full(len(f), g[0]) for g, f in zip(got, first)] or [np.empty(0, dtype=np.int64)])))
+            s, n, key, ctx = (np.concatenate([g[j][f] for g, f in zip(got, first)] or [np.empty(0, dtype=np.int64)]) for j in (1, 2, 4, 5))
+            yield pa.RecordBatch.from_arrays([who, pa.array(key.astype(np.uint64).view(np.int64)), pa.array(ctx.astype(np.uint64).view(np.int64)), pa.array(s.astype(np.int64)), pa.array(n.astype(np.int32))], names=["who", "key", "ctx", "s", "n"])
+
+    return coded.select("who", "text").mapInArrow(run, "who long, key long, ctx long, s long, n int")
+
+
+def windows(held: DataFrame, words: int) -> DataFrame:
+    """(who, window): hashes of the windows of the runs that (who, text, runs) holds, each once a document."""
+
+    def run(batches):
+        for b in batches:
+            for who, t, rs in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+                h = Hashed(np.frombuffer(t.as_py(), dtype=np.uint8))
+                at = np.unique(np.concatenate([np.arange(r["s"], r["s"] + r["n"]) for r in rs]))
+                got = np.unique(h.of(at, at + words)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), who)), pa.array(got)], names=["who", "window"])
+
+    return held.mapInArrow(run, "who long, window long")
+
+
+def in_two(rows: DataFrame, col: str) -> DataFrame:
+    """Values that rows of two documents have."""
+    return rows.groupBy(col).agg(F.min("who").alias("lo"), F.max("who").alias("hi")).where("lo <> hi").select(col)
+
+
 def shared_passages(docs: DataFrame, words: int = 51) -> DataFrame:
-    """(doc_id, row) of the documents that hold a passage of so many words that another one holds, too, whatever white space parts them. The same method as for bytes, on one byte a word: so many of them are as good as a long hash."""
-    return repeated(cut(coded(docs), "coded"), words, words // 3, once=True).select("doc_id", "row").distinct()
+    """(doc_id, row) of the documents that hold a passage of so many words that another one holds, too, whatever white space parts them.
+
+    Texts become one byte a word, so many of which are as good as a long hash. Windows are routed by anchors as those of bytes are, but only keys that two documents have go on. Equal contexts
+    settle most documents; of the others, and of what shares a key with them, the single windows are compared by their hashes. Counts are partial minima and maxima, so that no passage is too common.
+    """
+    who = F.xxhash64("doc_id", "row")
+    code = cut(coded(docs).select("doc_id", "row", who.alias("who"), "text"), "coded")
+    found = cut(anchors(code, words, words // 3), "anchors")
+    cand = cut(found.join(sized(cut(in_two(found, "key"), "keys")), "key", "left_semi"), "candidates")
+    same = cut(cand.join(sized(in_two(cand, "ctx")), "ctx", "left_semi").select("who").distinct(), "same")
+    open_keys = cand.join(sized(same), "who", "left_anti").select("key").distinct()
+    rest = cand.join(sized(open_keys), "key", "left_semi").groupBy("who").agg(F.collect_list(F.struct("s", "n")).alias("runs"))
+    w = cut(windows(code.select("who", "text").join(sized(rest), "who").select("who", "text", "runs"), words), "windows")
+    more = w.join(sized(in_two(w, "window")), "window", "left_semi").select("who")
+    return code.join(sized(cut(same.union(more).distinct(), "shared")), "who", "left_semi").select("doc_id", "row").distinct()
 
 
 def op6_suffixes(docs: DataFrame) -> DataFrame:
