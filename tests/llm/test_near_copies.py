@@ -50,7 +50,7 @@ def test_recall_of_pairs_that_are_just_similar_enough():
     """Fingerprints of pairs at a similarity of 0.8 to 0.82 are found by the turns in at least 98 of 100 cases; unlike ones hardly ever."""
     rng = np.random.default_rng(1)
     turns = simhash.similar_turns(10**6)
-    count = 1 + max(t.word for t in turns)
+    count = 1 + max(t.word for t in turns) + simhash.FAR
     near = far = 0
     for _ in range(400):
         n = int(rng.integers(20, 400))
@@ -58,11 +58,11 @@ def test_recall_of_pairs_that_are_just_similar_enough():
         shared = -(-8 * n // 9)
         a, b = own[0], np.concatenate([own[0][:shared], own[1][shared:]])
         for other in (b, own[2]):
-            x, y = (simhash.wide(np.unique(z), count + 1) for z in (a, other))
+            x, y = (simhash.wide(np.unique(z), count) for z in (a, other))
             d = [int(v) for v in x ^ y]
             ring = lambda t: (d[t.word] << t.at | d[t.word] >> 64 - t.at) & (1 << 64) - 1
             meet = any(all((ring(t) >> 64 - k).bit_count() <= t.allow[k] for k in range(1, 65)) for t in turns)
-            found = meet and d[count].bit_count() <= simhash.slack(64)
+            found = meet and sum(x.bit_count() for x in d[-simhash.FAR :]) <= simhash.slack(64 * simhash.FAR) and sum(x.bit_count() for x in d) <= simhash.slack(64 * count)
             near += found and other is b
             far += found and other is not b
     assert near >= 0.98 * 400 and far == 0
@@ -103,7 +103,28 @@ def test_trie_join_within_nodes_that_bits_split(spark, monkeypatch):
     fps = np.concatenate([fps, (fps[:100] >> np.uint64(20)) | (np.uint64(0xABC) << np.uint64(52))])  # many share their first block
     fps = np.unique(fps)
     nodes = [int(x) - (1 << 64) if x >= 1 << 63 else int(x) for x in fps.tolist()]
-    df = spark.createDataFrame([(x, 0, [x]) for x in nodes], "node long, far long, words array<long>")
+    df = spark.createDataFrame([(x, [x]) for x in nodes], "node long, words array<long>")
     edges = [(r.u, r.v) for r in simhash.links(df, simhash.exact_turns(4)).collect()]
     pairs = [(a, b) for (x, a), (y, b) in combinations(zip(fps.tolist(), nodes), 2) if (x ^ y).bit_count() <= 4]
     assert brute.components(nodes, edges) == brute.components(nodes, pairs)
+
+
+def test_groups_that_only_resemble_each_other(spark, monkeypatch):
+    """Families of one base at 0.6 to 0.8 of each other meet as one candidate component far beyond SETS; the links within and between them are those of brute force."""
+    monkeypatch.setattr(simhash, "SETS", 9)
+    rng, rows = np.random.default_rng(11), []
+    base = [f"w{k}" for k in range(300)]
+    for f in range(14):
+        own = list(base)
+        for k in rng.integers(0, 300, 9 + f % 3):
+            own[k] = f"f{f}_{k}"
+        for m in range(25 if f < 3 else 6):
+            w = list(own)
+            for k in rng.integers(0, 300, m % 3):
+                w[k] = f"m{f}_{m}_{k}"
+            rows.append((len(rows), " ".join(w)))
+    seen = []
+    plain = simhash.confirmed
+    monkeypatch.setattr(simhash, "confirmed", lambda sets, comp: seen.append(comp.groupBy("component_id").count().agg({"count": "max"}).first()[0]) or plain(sets, comp))
+    kept = brute.one_of_each(rows)
+    assert stage(spark, frame(spark, rows)) == kept and seen[0] > 90 and 2 < len(kept) < 60

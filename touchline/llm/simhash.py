@@ -23,8 +23,10 @@ CELL = 4096
 ROWS, PAIRS, PART = 200_000, 1_000_000, 1 << 17
 #: Near copies are alike in at least NUM / DEN of their different shingles; of the pairs just as alike, at least RECALL are to meet.
 NUM, DEN, RECALL = 4, 5, 0.995
-#: Documents of one candidate component whose shingles are compared in one task at most; larger components are split into cells.
-SETS = 256
+#: 64-bit words of a wide fingerprint that each candidate pair is tested on, besides the one that is traversed.
+FAR = 4
+#: Documents of one candidate component whose shingles are compared in one task at most; larger components are split into cells. Members that each cell of a component meets first.
+SETS, PIVOTS = 256, 8
 
 
 # ---- fingerprints ----
@@ -227,6 +229,10 @@ def _products(a0, a1, b0, b1, own):
             yield np.concatenate([a, np.full(len(b), p)]), np.concatenate([np.full(len(a), r), b])
 
 
+def _far(near: int | None) -> list[str]:
+    return [] if near is None else [f"far{k}" for k in range(FAR)]
+
+
 def join_groups(cols: dict[str, np.ndarray], turns: list[Turn], near: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Star edges (u, v) of the nodes linked within the groups of these rows, which are sorted by (turn, block, a, b, i, j, side, bits)."""
     key = np.stack([cols[k].astype(np.int64) for k in ("turn", "block", "a", "b", "i", "j")])
@@ -241,7 +247,7 @@ def join_groups(cols: dict[str, np.ndarray], turns: list[Turn], near: int | None
         turn = turns[int(t)]
         for i, j in trie_join(cols["bits"], two[pick], np.array(turn.allow), turn.width, new[pick], mid[pick], end[pick]):
             if near is not None:
-                ok = np.bitwise_count(cols["far"][i] ^ cols["far"][j]) <= near
+                ok = sum(np.bitwise_count(cols[f][i] ^ cols[f][j]).astype(np.int64) for f in _far(near)) <= near
                 i, j = i[ok], j[ok]
             found.append((i, j))
     a, b = (np.concatenate(x) for x in zip(*found))
@@ -250,25 +256,27 @@ def join_groups(cols: dict[str, np.ndarray], turns: list[Turn], near: int | None
     return ids[item], ids[root]
 
 
-def turned(fp: DataFrame, turns: list[Turn]) -> DataFrame:
-    """(node, far, turn, bits, block): each row of (node, far, words) once for each turn, its word turned so that it starts at the turn's bit."""
+def turned(fp: DataFrame, turns: list[Turn], far: list[str]) -> DataFrame:
+    """(node, far..., turn, bits, block): each row of (node, far array, words) once for each turn, its word turned so that it starts at the turn's bit."""
 
     def one(k: int, t: Turn):
         word = F.get("words", F.lit(t.word))
         bits = F.shiftleft(word, t.at).bitwiseOR(F.shiftrightunsigned(word, 64 - t.at)) if t.at else word
         return F.struct(F.lit(k).alias("turn"), bits.alias("bits"), F.shiftrightunsigned(bits, 64 - t.width).alias("block"))
 
-    return fp.select("node", "far", F.explode(F.array(*[one(k, t) for k, t in enumerate(turns)])).alias("t")).select("node", "far", "t.*")
+    tests = [F.get("far", F.lit(k)).alias(f) for k, f in enumerate(far)]
+    return fp.select("node", *tests, F.explode(F.array(*[one(k, t) for k, t in enumerate(turns)])).alias("t")).select("node", *far, "t.*")
 
 
 def links(fp: DataFrame, turns: list[Turn], near: int | None = None) -> DataFrame:
-    """(node, far, words), one row per distinct fingerprint -> edges (u, v) whose components are those of all pairs that the turns allow.
+    """(node, words), one row per distinct fingerprint -> edges (u, v) whose components are those of all pairs that the turns allow.
 
-    With near, a pair's `far` words may differ in so many bits at most. A trie node is what shares a turn's first block. One of over CELL fingerprints
+    With near, a pair's FAR words of the array `far` may differ in so many bits at most. A trie node is what shares a turn's first block. One of over CELL fingerprints
     is split by its next bits, of which one may differ: a child meets itself and the children one bit away, no others. Where bits don't part a node (its fingerprints are alike), its
     children are split into cells by a hash, and each pair of cells is traversed as two tries. A task gives a spanning forest of what it finds, not every pair.
     """
-    rot = turned(fp, turns)
+    far = _far(near)
+    rot = turned(fp, turns, far)
     split = F.array(*[F.lit(t.split()) for t in turns])
     width = F.array(*[F.lit(t.width) for t in turns])
     more = F.least(F.get(split, F.col("turn")), F.greatest(F.lit(0), F.ceil(F.log2(F.col("count") / CELL)).cast("int")))
@@ -291,7 +299,7 @@ def links(fp: DataFrame, turns: list[Turn], near: int | None = None) -> DataFram
         "turn", "block", F.least("child", "mate").alias("a"), F.greatest("child", "mate").alias("b"),
         F.when(alone, F.least("own", "other")).when(low, F.col("own")).otherwise(F.col("other")).alias("i"),
         F.when(alone, F.greatest("own", "other")).when(low, F.col("other")).otherwise(F.col("own")).alias("j"),
-        F.when(alone, F.col("own") > F.col("other")).otherwise(~low).cast("int").alias("side"), "bits", "far", "node",
+        F.when(alone, F.col("own") > F.col("other")).otherwise(~low).cast("int").alias("side"), "bits", *far, "node",
         # unsigned order
         F.col("bits").bitwiseXOR(F.lit(-(1 << 63))).alias("sorted"),
     )
@@ -301,8 +309,8 @@ def links(fp: DataFrame, turns: list[Turn], near: int | None = None) -> DataFram
         held: list[pa.RecordBatch] = []
 
         def flush(rows: pa.Table) -> pa.RecordBatch:
-            cols = {x: rows.column(x).to_numpy() for x in (*keys, "side", "bits", "far", "node")}
-            cols |= {x: cols[x].view(np.uint64) for x in ("bits", "far")}  # signed ones would be counted by their absolute values
+            cols = {x: rows.column(x).to_numpy() for x in (*keys, "side", "bits", *far, "node")}
+            cols |= {x: cols[x].view(np.uint64) for x in ("bits", *far)}  # signed ones would be counted by their absolute values
             return pa.RecordBatch.from_arrays([pa.array(x) for x in join_groups(cols, turns, near)], names=["u", "v"])
 
         for b in batches:
@@ -330,7 +338,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, budget: int = 4, id_col: st
     # many partitions over the hot fingerprint's rows: partial minima first
     reps = cut(fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep")), "classes")
     # a class is known by its fingerprint, whatever ids its rows repeat
-    found = links(reps.select(F.col("fp").alias("node"), F.lit(0).cast("long").alias("far"), F.array("fp").alias("words")), exact_turns(budget))
+    found = links(reps.select(F.col("fp").alias("node"), F.array("fp").alias("words")), exact_turns(budget))
     comp = connected_components(found)
     named = reps.join(comp, reps["fp"] == comp["id"], "left").select("fp", "rep", F.coalesce("component_id", "fp").alias("c"))
     least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
@@ -350,26 +358,21 @@ def op2_simhash(docs: DataFrame) -> DataFrame:
 # ---- near copies: wide fingerprints, confirmed ----
 
 
-def signed_sets(docs: DataFrame, words: int, count: int | None, id_col: str, text_col: str) -> DataFrame:
-    """(id, row, node, n, far, words) per row of docs: `row` hashes the text, `node` the set of its n different shingles, whose fingerprint is in `count` words and one more, `far`.
-
-    Without count: the shingles themselves as `grams` in the fingerprint's place.
-    """
+def signed_sets(docs: DataFrame, words: int, count: int, grams: bool, id_col: str, text_col: str) -> DataFrame:
+    """(id, row, node, n, words) per row of docs: `row` hashes the text, `node` the set of its n different shingles, whose fingerprint is in `count` words. With grams: the shingles themselves, too."""
 
     def run(batches):
         for b in batches:
             sets = [plain_shingles(t.as_py(), words) for t in b.column(2)]
             node = pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets], type=pa.int64())
             n = np.array([len(s) for s in sets], dtype=np.int64)
-            if count is None:
-                rest, names = [_lists(n, np.concatenate([np.empty(0, dtype=np.uint64), *sets]))], ["grams"]
-            else:
-                got = np.array([wide(s, count + 1) for s in sets], dtype=np.uint64).reshape(-1, count + 1)
-                rest = [pa.array(got[:, count].copy().view(np.int64)), _lists(np.full(len(n), count), got[:, :count].ravel())]
-                names = ["far", "words"]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node, pa.array(n), *rest], names=["id", "row", "node", "n", *names])
-
-    schema = "id long, row long, node long, n long, " + ("grams array<long>" if count is None else "far long, words array<long>")
+            got = np.array([wide(s, count) for s in sets], dtype=np.uint64).reshape(-1, count)
+            cols = [b.column(0), b.column(1), node, pa.array(n), _lists(np.full(len(n), count), got.ravel())]
+            if grams:
+                cols.append(_lists(n, np.concatenate([np.empty(0, dtype=np.uint64), *sets])))
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "row", "node", "n", "words", *["grams"] * grams])
+
+    schema = "id long, row long, node long, n long, words array<long>" + (", grams array<long>" if grams else "")
     text = F.col(text_col).cast("string")
     return batched(docs).select(F.col(id_col).cast("long"), F.xxhash64(text), text).mapInArrow(run, schema)
 
@@ -378,18 +381,26 @@ def _lists(n: np.ndarray, flat: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(flat.view(np.int64)))
 
 
-def confirm(sets: list[np.ndarray], side: np.ndarray, cross: bool) -> list[tuple[int, int]]:
-    """Pairs of similar sets with the components of all such pairs; with cross only pairs of both sides count."""
+def confirm(sets: list[np.ndarray], words: np.ndarray, group: np.ndarray, side: np.ndarray | None) -> list[tuple[int, int]]:
+    """Pairs of similar sets with the components of all such pairs, where sets of a group are known to be in one component; with side only pairs of both sides count.
+
+    Pairs whose fingerprints differ in more bits than slack() allows aren't looked at; nor are those that are in one component by now.
+    """
     order = np.argsort([len(s) for s in sets], kind="stable")
-    n, side = np.array([len(s) for s in sets])[order], side[order]
+    n, words = np.array([len(s) for s in sets])[order], words[order]
+    root = np.unique(group[order], return_index=True, return_inverse=True)
+    root = root[1][root[2]]
     flat = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)[1]
     start = np.concatenate(([0], np.cumsum(n)))
-    mark, root, out = np.zeros(int(flat.max()) + 1, dtype=bool), np.arange(len(n)), []
+    mark, out, most = np.zeros(int(flat.max()) + 1, dtype=bool), [], slack(64 * words.shape[1])
+    sides = None if side is None else side[order]
     for a in range(len(n) - 1):
         b = np.arange(a + 1, np.searchsorted(n, n[a] * DEN // NUM, "right"))
         b = b[root[b] != root[a]]
-        if cross:
-            b = b[side[b] != side[a]]
+        if sides is not None:
+            b = b[sides[b] != sides[a]]
+        if len(b):
+            b = b[np.bitwise_count(words[b] ^ words[a]).sum(axis=1, dtype=np.int64) <= most]
         if not len(b):
             continue
         own = flat[start[a] : start[a + 1]]
@@ -404,41 +415,70 @@ def confirm(sets: list[np.ndarray], side: np.ndarray, cross: bool) -> list[tuple
     return out
 
 
-def confirmed(sets: DataFrame, comp: DataFrame) -> DataFrame:
-    """(node, grams) and their candidate components (id, component_id) -> edges (u, v) with the components of all pairs that are similar enough.
-
-    Components beyond SETS are split into cells by a hash, and each pair of cells is compared in one go.
-    """
-    cells = comp.groupBy("component_id").agg(F.ceil(F.count("*") / SETS).cast("int").alias("cells"))
-    where = comp.join(cells, "component_id").withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("cells")).cast("int"))
-    where = where.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select(
-        F.col("id").alias("node"), F.col("component_id").alias("c"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        (F.col("own") > F.col("other")).cast("int").alias("side"),
-    )
+def compared(rows: DataFrame, keys: list[str], sided: bool) -> DataFrame:
+    """rows (keys, side, node, root, words, grams) -> edges (u, v) by confirm() of each key's rows; with sided, keys of two sides compare these only."""
 
     def run(batches):
-        key, node, side, grams = None, [], [], []
+        key, held = None, []
 
         def flush():
-            pairs = confirm(grams, np.array(side), key[1] != key[2]) if len(node) > 1 else []
+            node, root, side, words, grams = zip(*held)
+            two = np.array(side) if sided and len(set(side)) > 1 else None
+            pairs = confirm(list(grams), np.stack(words).view(np.uint64), np.array(root), two) if len(node) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([node[p[k]] for p in pairs], type=pa.int64()) for k in (0, 1)], names=["u", "v"])
 
         for b in batches:
-            keys = zip(*(b.column(x).to_pylist() for x in ("c", "i", "j")))
-            for now, i, s, g in zip(keys, b.column("node").to_pylist(), b.column("side").to_pylist(), b.column("grams")):
+            tags = zip(*(b.column(x).to_pylist() for x in keys))
+            for now, *item, w, g in zip(tags, *(b.column(x).to_pylist() for x in ("node", "root", "side")), b.column("words"), b.column("grams")):
                 if now != key:
-                    if node:
+                    if held:
                         yield flush()
-                    key, node, side, grams = now, [], [], []
-                node.append(i)
-                side.append(s)
-                grams.append(g.values.to_numpy())
-        if node:
+                    key, held = now, []
+                held.append((*item, w.values.to_numpy(), g.values.to_numpy()))
+        if held:
             yield flush()
 
-    keys = ["c", "i", "j"]
-    rows = batched(sets).select("node", "grams").join(where, "node").select(*keys, "side", "node", "grams")
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "side", "node").mapInArrow(run, "u long, v long")
+    cols = [*keys, "side", "node", "root", "words", "grams"]
+    return rows.select(cols).repartition(*keys).sortWithinPartitions(*keys, "side", "node").mapInArrow(run, "u long, v long")
+
+
+def confirmed(sets: DataFrame, comp: DataFrame) -> DataFrame:
+    """(node, words, grams) and their candidate components (id, component_id) -> edges (u, v) with the components of all pairs that are similar enough.
+
+    First, components are cut into cells by a hash, and each cell is compared in itself and with a few members that all cells of its component meet: that joins what is truly one group. Where a
+    component has several groups left, cells are made again, such that those of a large group hold nothing else, and pairs of cells are compared, but not two of one group. So a group of any size costs what it has, not its square.
+    """
+    sets = batched(sets).select("node", "words", "grams")
+    size = comp.groupBy("component_id").agg(F.count("*").alias("n"))
+    place = lambda cells: F.pmod(F.xxhash64("node", F.lit(7)), cells)
+    member = comp.select(F.col("id").alias("node"), "component_id").join(size, "component_id").select("node", F.col("component_id").alias("c"), "n", F.ceil(F.col("n") / SETS).alias("cells"))
+    member = cut(member.withColumn("cell", place(F.col("cells"))), "members")
+    # the least hashes of a few parts of a component
+    part = F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(PIVOTS))
+    pivots = member.where("cells > 1").groupBy("c", "cells", part.alias("p")).agg(F.min(F.struct(F.xxhash64("node"), F.col("node").alias("node")))["node"].alias("node"))
+    pivots = pivots.select("node", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("cell"))
+    first = member.select("node", "c", "cell").unionByName(pivots).distinct()
+    first = first.join(sets, "node").withColumn("side", F.lit(0)).withColumn("root", F.col("node"))
+    edges = cut(compared(first, ["c", "cell"], False), "confirmed")
+    if member.where("cells > 1").isEmpty():
+        return edges
+    groups = connected_components(edges).withColumnRenamed("id", "node").withColumnRenamed("component_id", "root")
+    named = cut(member.where("cells > 1").select("node", "c").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node")), "groups")
+    several = named.groupBy("c").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("c")
+    named = named.join(several, "c")
+    kinds = named.groupBy("c", "root").agg(F.count("*").alias("m")).withColumn("own", F.when(F.col("m") > SETS, F.col("root")))
+    cells = kinds.groupBy("c", "own").agg(F.ceil(F.sum("m") / SETS).alias("cells"))
+    # the cells of a component, numbered: a row for each SETS members
+    every = cells.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
+    every = cut(every.withColumn("i", F.row_number().over(Window.partitionBy("c").orderBy("own", "cell"))), "cells")
+    named = named.join(kinds.select("c", "root", "own"), ["c", "root"])
+    same = named["own"].eqNullSafe(every["own"]) & (named["c"] == every["c"]) & (F.pmod(F.xxhash64(named["node"], F.lit(7)), every["cells"]) == every["cell"])
+    mine = cut(named.join(every, same).select(named["c"], "node", "root", named["own"], "i"), "placed")
+    other = every.select("c", F.col("own").alias("own2"), F.col("i").alias("i2"))
+    # a cell of one group doesn't meet the others of that group; one of small groups meets itself, too
+    pairs = every.select("c", "own", "i").join(other, "c").where("own is null or own2 is null or own <> own2").select("c", "i", F.least("i", "i2").alias("a"), F.greatest("i", "i2").alias("b"))
+    rows = mine.join(pairs, ["c", "i"]).withColumn("side", (F.col("i") == F.col("b")).cast("int") - (F.col("a") == F.col("b")).cast("int")).join(sets, "node")
+    return edges.unionByName(cut(compared(rows, ["c", "a", "b"], True), "confirmed"))
 
 
 def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -448,16 +488,17 @@ def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
     counted, are links. Equal sets are one class, known by `node`, and only classes are compared; texts without words take no part.
     """
     turns = similar_turns(docs.count())
-    rows = cut(signed_sets(docs, words, 1 + max(t.word for t in turns), id_col, text_col).where("n > 0"), "fingerprints")
+    count = 1 + max(t.word for t in turns) + FAR
+    rows = cut(signed_sets(docs, words, count, False, id_col, text_col).where("n > 0"), "fingerprints")
     key = F.struct(F.col("id").isNull().alias("no_id"), "id", "row")
-    classes = cut(rows.groupBy("node").agg(F.min(F.struct(key.alias("key"), "far", "words")).alias("m")).select("node", "m.*"), "classes")
-    comp = cut(connected_components(links(classes.select("node", "far", "words"), turns, slack(64))), "candidates")
+    classes = cut(rows.groupBy("node").agg(F.min(F.struct(key.alias("key"), "words")).alias("m")).select("node", "m.*"), "classes")
+    comp = cut(connected_components(links(classes.select("node", F.slice("words", count - FAR + 1, FAR).alias("far"), "words"), turns, slack(64 * FAR))), "candidates")
     wanted = cut(classes.join(comp, classes["node"] == comp["id"]).select("node", "key.id", "key.row"), "wanted")
     i, r = unused(docs, "_id"), unused(docs, "_row")
     # shingles are made again for the candidates' own documents only
     same = F.col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(r))
     held = docs.join(sized(wanted.select(F.col("id").alias(i), F.col("row").alias(r))), same, "left_semi")
-    sets = cut(signed_sets(held, words, None, id_col, text_col).select("node", "grams").dropDuplicates(["node"]), "sets")
+    sets = cut(signed_sets(held, words, count, True, id_col, text_col).select("node", "words", "grams").dropDuplicates(["node"]), "sets")
     found = cut(connected_components(confirmed(sets, comp)).withColumnRenamed("id", "node"), "components")
     named = classes.select("node", "key").join(found, "node", "left").withColumn("c", F.coalesce("component_id", "node"))
     least = named.groupBy("c").agg(F.min("key").alias("first"))
