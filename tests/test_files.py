@@ -169,3 +169,20 @@ def test_the_best_detection_of_a_stream_is_that_of_the_batch(spark, tmp_path):
         assert {(r.frame, r.gid, r.line) for r in got} == {(r.frame, r.gid, r.line) for r in plain}
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_audits_and_calibrations_are_refused_if_they_lack_something(spark, tmp_path):
+    p = tmp_path / "audit.csv"
+    p.write_text("﻿global_id, verdict\n1,same\n,\n2,\n", encoding="utf-8")
+    assert sorted(tuple(r) for r in documents.read_audit(spark, str(p), ["global_id", "verdict"]).collect()) == [("1", "same"), ("2", None)]
+    with pytest.raises(ValueError, match="reviewer"):
+        documents.read_audit(spark, str(p), ["reviewer"])
+    h = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]
+    c = tmp_path / "cal.json"
+    for passed, frames in ((True, [{"proc_idx": 0, "accepted": True, "H_image_to_pitch_m": h}]), (False, [{"proc_idx": 0, "accepted": True, "H_image_to_pitch_m": h}]), (True, [])):
+        c.write_text(json.dumps({"validation": {"passed": passed}, "frames": frames}))
+        if passed and frames:
+            assert mot.read_homographies(spark, str(c), strict=True).count() == 1
+        else:
+            with pytest.raises(ValueError):
+                mot.read_homographies(spark, str(c), strict=True)

@@ -333,3 +333,49 @@ def test_each_rule_is_broken_by_its_package(spark, rule):
     t = GOOD | BROKEN.get(rule, {})
     got = reviews.package(*[spark.createDataFrame(t[n], SCHEMAS[n]) for n in SCHEMAS]).collect()
     assert len(got) == 7 and {r.rule for r in got if not r.passed} == ({rule} - {None}) and all((r.failures == 0) == r.passed == (r.examples == "") for r in got)
+
+
+# ---- many matches in one table ----
+
+
+def test_two_copies_of_a_match_have_their_own_results(spark):
+    from touchline.operators import possession, running
+
+    rng = random.Random(8)
+    players = [(g, f, 20 + 6 * math.sin(f / 9 + g), 10 + 4 * math.cos(f / 7 + 2 * g)) for g in range(4) for f in range(300) if rng.random() < 0.97]
+    ball = [(f, 20 + 6 * math.sin(f / 23), 10 + 4 * math.cos(f / 17)) for f in range(300) if rng.random() < 0.9]
+    p = spark.createDataFrame(players, "gid int, frame int, x double, y double")
+    b = spark.createDataFrame(ball, "frame int, bx double, bz double")
+    t = spark.createDataFrame([(g, f"t{g % 2}") for g in range(4)], "gid int, team string")
+    two = lambda d: d.withColumn("match", F.lit(1)).unionByName(d.withColumn("match", F.lit(2)))
+
+    def chain(p, b, t, keys):
+        iv = possession.intervals(possession.nearest_player(p, b, 5.0, keys), 2, keys)
+        tr = possession.classified(possession.transitions(iv, 15, keys=keys), t, 0.5, keys)
+        back = events.counterpress(tr.select(*keys, F.col("end_frame").alias("frame"), "from_team", "to_team"), 100, keys)
+        path = running.timeseries(p, 10.0, 5, keys)
+        return [iv.drop("mean_d"), tr, back, possession.team_summary(tr, keys), possession.owners(iv, keys), path, running.summary(path, 2.0, keys), running.bouts(path, 2.0, 2, 2, keys), running.rolling_peak(path.where("speed is not null"), 3, keys)]
+
+    one, many = chain(p, b, t, ()), chain(two(p), two(b), two(t), ("match",))
+    for x, y in zip(one, many):
+        want = sorted(map(tuple, x.collect()), key=repr)
+        for m in (1, 2):
+            got = sorted(map(tuple, y.where(F.col("match") == m).select(x.columns).collect()), key=repr)
+            assert got == want and len(want) > 1, x.columns
+
+
+def test_small_rules(spark):
+    from touchline.functions import geom, scalars
+    from touchline.operators import tracks
+
+    row = spark.range(1)
+    with pytest.raises(Exception, match="infinity"):
+        row.select(geom.project(F.lit(1.0), F.lit(1.0), [F.lit(v) for v in (1.0, 0, 0, 0, 1, 0, 0, 0, 0.0)], strict=True)[0]).collect()
+    said = {"con?nus:*a/ ": "con_nus_a_", " . ": "new_venue", "x": "x", "a\\b": "a_b"}
+    got = spark.createDataFrame([(k,) for k in said], "t string").select("t", scalars.venue(F.col("t"))).collect()
+    assert {r[0]: r[1] for r in got} == said
+    e = events.goal_zone(F.col("x"), F.col("y"), 105.0, 68.0)
+    points = [(2.6, 34.0), (2.7, 34.0), (102.5, 30.4), (102.5, 30.3), (0.0, 37.6)]
+    assert [r[0] for r in spark.createDataFrame(points, "x double, y double").select(e).collect()] == [True, False, True, False, True]
+    det = spark.createDataFrame([(1, 1), (1, 2), (9, 3)], "gid int, k int")
+    assert tuple(tracks.remap_counts(det, det.where("gid = 1").select("gid")).first()) == (2, 1)

@@ -13,10 +13,13 @@ def footpoint(x: Column, y: Column, w: Column, h: Column) -> tuple[Column, Colum
     return x + w / 2, y + h
 
 
-def project(x: Column, y: Column, h: Sequence[Column | float]) -> tuple[Column, Column]:
-    """(x, y) through a row-major 3x3 homography; null where the point goes to infinity."""
+def project(x: Column, y: Column, h: Sequence[Column | float], strict: bool = False) -> tuple[Column, Column]:
+    """(x, y) through a row-major 3x3 homography; null where the point goes to infinity, or, strictly, an error."""
     w = h[6] * x + h[7] * y + h[8]
-    w = F.when(F.abs(w) >= 1e-9, w)
+    if strict:
+        w = F.when(F.abs(w) < 1e-12, F.raise_error(F.lit("a projected point lies at infinity")).cast("double")).otherwise(w)
+    else:
+        w = F.when(F.abs(w) >= 1e-9, w)
     return (h[0] * x + h[1] * y + h[2]) / w, (h[3] * x + h[4] * y + h[5]) / w
 
 

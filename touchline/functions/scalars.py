@@ -131,3 +131,50 @@ def extremes(scores: Column, best: int = 4, worst: int = 2) -> tuple[Column, Col
     down = F.array_sort(F.transform(scores, lambda x: F.struct(x["score"].alias("s"), x["name"].alias("name"))))
     names = lambda a, n: F.array_join(F.transform(F.slice(a, 1, n), lambda x: x["name"]), ";")
     return names(up, best), names(down, worst)
+
+
+def person_key(explicit: Column, roster: Column, team: Column, number: Column, name: Column, linked: Column | None = None) -> Column:
+    """Who a row is about: the explicit key, else roster:<index>, else manual:<team>|<number>|<name> in lower case where there is a name, else linked:<ids> of an array of ids, else ''."""
+    said = lambda c: F.trim(F.coalesce(c.cast("string"), F.lit("")))
+    manual = F.concat(F.lit("manual:"), F.concat_ws("|", *[F.lower(said(c)) for c in (team, number, name)]))
+    out = F.when(said(explicit) != "", said(explicit)).when(roster.isNotNull(), F.concat(F.lit("roster:"), roster.cast("string"))).when(said(name) != "", manual)
+    if linked is not None:
+        out = out.when(F.size(linked) > 0, F.concat(F.lit("linked:"), F.array_join(linked.cast("array<string>"), ",")))
+    return out.otherwise("")
+
+
+def short_date(text: Column) -> Column:
+    """2024-05-06... as 2024.05.06; other texts as they are."""
+    t = F.coalesce(text.cast("string"), F.lit(""))
+    iso = (F.length(t) >= 10) & (F.substring(t, 5, 1) == "-") & (F.substring(t, 8, 1) == "-")
+    return F.when(iso, F.translate(F.substring(t, 1, 10), "-", ".")).otherwise(t)
+
+
+def venue(text: Column) -> Column:
+    """A name for a folder on any system: characters that some system forbids become one underscore, dots and spaces at the ends go; new_venue where nothing is left."""
+    t = F.regexp_replace(F.trim(text), r'[<>:"/\\|?*\x00-\x1f]+', "_")
+    t = F.regexp_replace(t, r"^[ .]+|[ .]+$", "")
+    return F.when(F.coalesce(t, F.lit("")) != "", t).otherwise("new_venue")
+
+
+def trimmed(duration: Column, most: float = 8.0) -> tuple[Column, Column]:
+    """(offset, length) of a clip of at most so many seconds: its middle part, or all of it up to a hundredth more."""
+    fits = duration <= most + 0.01
+    return F.when(fits, 0.0).otherwise((duration - most) / 2.0), F.when(fits, F.least(duration, F.lit(most))).otherwise(most)
+
+
+def merged(incoming: Column, defaults: Column) -> Column:
+    """A map over its defaults: what is there wins, null or not, and what isn't follows from the defaults."""
+    rest = F.map_filter(defaults, lambda k, v: ~F.coalesce(F.map_contains_key(incoming, k), F.lit(False)))
+    return F.map_concat(F.coalesce(incoming, F.map_filter(defaults, lambda k, v: F.lit(False))), rest)
+
+
+def padded(items: Column, n: int, blank: Column) -> Column:
+    """The first n items, and blanks up to n."""
+    have = F.slice(F.coalesce(items, F.filter(F.array(blank), lambda x: F.lit(False))), 1, n)
+    return F.concat(have, F.array_repeat(blank, (F.lit(n) - F.size(have)).cast("int")))
+
+
+def reid_stride(seconds: float, fps: Column) -> Column:
+    """Frames between two appearance samples, halves to the even one, and one at least."""
+    return F.greatest(F.lit(1), F.bround(F.lit(seconds) * fps).cast("int"))

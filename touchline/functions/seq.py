@@ -9,14 +9,18 @@ from pyspark.sql.window import Window
 from .tables import cut
 
 
-def runs(df: DataFrame, key: str, frame: str, name: str = "run") -> DataFrame:
+def several(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def runs(df: DataFrame, key: str | list[str], frame: str, name: str = "run") -> DataFrame:
     """Adds an island key that consecutive frames of a key share: frame minus its row number, so that only the key's rows meet in a window."""
-    return df.withColumn(name, F.col(frame) - F.row_number().over(Window.partitionBy(key).orderBy(frame)))
+    return df.withColumn(name, F.col(frame) - F.row_number().over(Window.partitionBy(*several(key)).orderBy(frame)))
 
 
-def sessions(df: DataFrame, key: str, at: str, gap: float, name: str = "session", ties: tuple[str, ...] = ()) -> DataFrame:
+def sessions(df: DataFrame, key: str | list[str], at: str, gap: float, name: str = "session", ties: tuple[str, ...] = ()) -> DataFrame:
     """Numbers a key's sessions from 1: a row further than `gap` from the one before begins the next."""
-    w = Window.partitionBy(key).orderBy(at, *ties)
+    w = Window.partitionBy(*several(key)).orderBy(at, *ties)
     new = F.when(F.col(at) - F.lag(at).over(w) <= gap, 0).otherwise(1)
     return df.withColumn("_new", new).withColumn(name, F.sum("_new").over(w)).drop("_new")
 
@@ -80,8 +84,15 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: st
     return out.select(*cols, F.col("_p.t").alias(f"{value}_at"), F.col("_p.v").alias(value))
 
 
-def between_keys(left: DataFrame, right: DataFrame, keys: list[str], at: str, values: str) -> DataFrame:
-    """left with right's array of doubles, linear between the two rows of right around each row; beyond the first and the last one it is held, and null where a key has none."""
+def between_keys(left: DataFrame, right: DataFrame, keys: list[str], at: str, values: str, unit: int | None = None) -> DataFrame:
+    """left with right's array of doubles, linear between the two rows of right around each row; beyond the first and the last one it is held, and null where a key has none.
+
+    With unit, a place in the array (8 for the last number of a homography), each array is divided by its number there before and after it is blended, so that scaled forms of one matrix are one.
+    """
+    if unit is not None:
+        one = lambda c: F.transform(c, lambda x: x / F.get(c, F.lit(unit)))
+        out = between_keys(left, right.withColumn(values, one(F.col(values))), keys, at, values)
+        return out.withColumn(values, one(F.col(values)))
     rows = left.withColumn("_r", F.lit(1)).unionByName(right.select(*keys, at, values).withColumn("_r", F.lit(0)), allowMissingColumns=True)
     mine = F.when(F.col("_r") == 0, F.struct(F.col(at).alias("t"), F.col(values).alias("v")))
     w = Window.partitionBy(*keys).orderBy(at, "_r").rowsBetween(Window.unboundedPreceding, 0)
@@ -103,14 +114,14 @@ def row_index(df: DataFrame, keys: list[str], order: str, ties: list[str], name:
     by = F.col(order).desc_nulls_last() if descending else F.col(order).asc_nulls_last()
     parts = [*keys, by, *ties]
     low = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    t = cut(df.repartitionByRange(*parts).sortWithinPartitions(*parts).withColumn("_part", F.spark_partition_id()).withColumn("_at", low), "sorted")
-    own = t.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range of a key
-    own = own.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_q"), "_first", F.coalesce(before, F.lit(0)).alias("_before"))
-    same = F.col("_part") == F.col("_q")
+    t = cut(df.repartitionByRange(*parts).sortWithinPartitions(*parts).withColumn("_ri_part", F.spark_partition_id()).withColumn("_ri_at", low), "sorted")
+    own = t.groupBy(*keys, "_ri_part").agg(F.min("_ri_at").alias("_ri_first"), F.count("*").alias("_ri_n"))
+    before = F.sum("_ri_n").over(Window.partitionBy(*keys).orderBy("_ri_part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range of a key
+    own = own.select(*[F.col(k).alias(f"_ri_k_{k}") for k in keys], F.col("_ri_part").alias("_ri_q"), "_ri_first", F.coalesce(before, F.lit(0)).alias("_ri_before"))
+    same = F.col("_ri_part") == F.col("_ri_q")
     for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return t.join(own, same).withColumn(name, F.col("_at") - F.col("_first") + F.col("_before")).drop("_part", "_at", "_q", "_first", "_before", *[f"_k_{k}" for k in keys])
+        same = same & F.col(k).eqNullSafe(F.col(f"_ri_k_{k}"))
+    return t.join(own, same).withColumn(name, F.col("_ri_at") - F.col("_ri_first") + F.col("_ri_before")).drop("_ri_part", "_ri_at", "_ri_q", "_ri_first", "_ri_before", *[f"_ri_k_{k}" for k in keys])
 
 
 def percentile(df: DataFrame, keys: list[str], value: str, part: float, name: str) -> DataFrame:
@@ -162,6 +173,18 @@ def nearest(left: DataFrame, right: DataFrame, at: str, tolerance: int, prefix:
     return left.join(best, at, "left").select(*left.columns, *[F.col(f"_m._s.{c}").alias(prefix + c) for c in right.columns])
 
 
+def fill_within(df: DataFrame, keys: list[str], frame: str, values: list[str], most: int) -> DataFrame:
+    """Linear values for the frames between two observed ones whose frame numbers differ by at most `most`; all rows are backed by such a pair or observed, and `observed` tells which."""
+    w = Window.partitionBy(*keys).orderBy(frame)
+    t = df.select(*keys, frame, *values, F.lead(frame).over(w).alias("_to"), *[F.lead(v).over(w).alias(f"_{v}") for v in values])
+    span = F.col("_to") - F.col(frame)
+    last = F.when(span <= most, F.col("_to") - 1).otherwise(F.col(frame))
+    t = t.withColumn("_at", F.explode(F.sequence(F.col(frame), last)))
+    seen = F.col("_at") == F.col(frame)
+    cols = [F.when(seen, F.col(v)).otherwise(F.col(v) + (F.col(f"_{v}") - F.col(v)) * ((F.col("_at") - F.col(frame)) / span)).alias(v) for v in values]
+    return t.select(*keys, F.col("_at").alias(frame), *cols, seen.alias("observed"))
+
+
 def fill_all(df: DataFrame, keys: list[str], frame: str, values: list[str], margin: int, most: int) -> DataFrame:
     """Each key's frames from its first less margin to its last plus margin: linear between observed ones, held at the ends; `reliable` where observed or between two that are at most `most` apart."""
     w = Window.partitionBy(*keys).orderBy(frame)

@@ -24,15 +24,21 @@ def shielding(owned: DataFrame, players: DataFrame, teams: DataFrame, reach: flo
     return hit.where(F.col("pressed") >= least).select("pid", "gid", "pressed", F.col("a.frame").alias("frame"), F.col("a.opp").alias("opponent"), F.round("a.d", 6).alias("distance"))
 
 
-def counterpress(changes: DataFrame, within: int) -> DataFrame:
+def goal_zone(x: Column, y: Column, length: float, width: float) -> Column:
+    """Whether a point lies in front of one of the goals: within a margin of a goal line, and within the goal's half width of its middle, both by the pitch's size in metres."""
+    half, margin = max(1.5, min(3.66, width * 0.12)), max(0.6, length * 0.025)
+    return ((x <= margin) | (x >= length - margin)) & y.between(width / 2 - half, width / 2 + half)
+
+
+def counterpress(changes: DataFrame, within: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """changes (frame, from_team, to_team): for each loss the first later change within so many frames by which the losing team has the ball again.
 
     Losses meet recoveries in buckets of frames and by team, so that this is an equi-join.
     """
-    loss = changes.where("from_team <> to_team").select(F.col("frame").alias("lost"), F.col("from_team").alias("team"), F.col("frame").alias("_lo"), (F.col("frame") + within).alias("_hi"))
-    back = changes.where("from_team <> to_team").select("frame", F.col("to_team").alias("team"))
-    hit = seq.range_join(back, loss, "frame", "_lo", "_hi", within, ["team"]).where("frame > lost")
-    return hit.groupBy("lost", "team").agg(F.min("frame").alias("regained"))
+    loss = changes.where("from_team <> to_team").select(*keys, F.col("frame").alias("lost"), F.col("from_team").alias("team"), F.col("frame").alias("_lo"), (F.col("frame") + within).alias("_hi"))
+    back = changes.where("from_team <> to_team").select(*keys, "frame", F.col("to_team").alias("team"))
+    hit = seq.range_join(back, loss, "frame", "_lo", "_hi", within, [*keys, "team"]).where("frame > lost")
+    return hit.groupBy(*keys, "lost", "team").agg(F.min("frame").alias("regained"))
 
 
 def counterpress_until_unknown(changes: DataFrame, within: int) -> DataFrame:

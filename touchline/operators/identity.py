@@ -36,11 +36,11 @@ def majority(rows: DataFrame, key: str, mode: str, order: str) -> DataFrame:
 
 
 def quality(det: DataFrame) -> DataFrame:
-    """Per id the number of frames that hold it more than once, the first and last of them, and the longest step between its frames."""
+    """Per id the number of frames that hold it more than once, the first and last of them and all of them in order, and the longest step between its frames."""
     per = det.groupBy("gid", "frame").agg(F.count("*").alias("c"))
     per = per.withColumn("gap", F.col("frame") - F.lag("frame").over(Window.partitionBy("gid").orderBy("frame")))
     twice = F.when(F.col("c") > 1, F.col("frame"))
-    return per.groupBy("gid").agg(F.count(twice).alias("collisions"), F.min(twice).alias("first_collision"), F.max(twice).alias("last_collision"), F.coalesce(F.max("gap"), F.lit(0)).alias("max_gap"))
+    return per.groupBy("gid").agg(F.count(twice).alias("collisions"), F.min(twice).alias("first_collision"), F.max(twice).alias("last_collision"), F.sort_array(F.collect_list(twice)).alias("collision_frames"), F.coalesce(F.max("gap"), F.lit(0)).alias("max_gap"))
 
 
 def switches(rows: DataFrame, key: str, frame: str, mode: str, span: int, least: int, purity: float) -> DataFrame:
@@ -206,13 +206,23 @@ def merge_candidates(ids: DataFrame, rows: DataFrame, chosen: DataFrame) -> Data
 
 
 def new_ids(rows: DataFrame, key: str, segment: str) -> DataFrame:
-    """rows with new_<key>: segment 0 keeps its id, further segments get ids after the largest one, in order of (id, segment). The order spans a row per segment."""
+    """rows with new_<key>: segment 0 keeps its id, further segments get ids after the largest one, in order of (id, segment); no task sorts them all."""
     top = rows.agg(F.max(key).alias("_top"))  # one row
-    more = rows.select(key, segment).distinct().where(F.col(segment) > 0).withColumn("_rank", F.row_number().over(Window.orderBy(key, segment)))
+    more = seq.row_index(rows.select(key, segment).distinct().where(F.col(segment) > 0), [], key, [segment], "_rank").withColumn("_rank", F.col("_rank") + 1)
     t = rows.join(more, [key, segment], "left").crossJoin(F.broadcast(top))
     return t.withColumn(f"new_{key}", F.when(F.col("_rank").isNull(), F.col(key).cast("long")).otherwise((F.col("_top") + F.col("_rank")).cast("long"))).drop("_rank", "_top")
 
 
+def partition_ids(segments: DataFrame, key: str = "gid", segment: str = "segment", mode: str = "mode") -> DataFrame:
+    """(key, mode, new_<key>) of an id's segments (key, segment, mode): the first segment's mode keeps the id, each other mode gets one id for all its segments, after the largest id, in order of (id, first segment)."""
+    top = segments.agg(F.max(key).alias("_top"))  # one row
+    per = segments.groupBy(key, mode).agg(F.min(segment).alias("_s")).withColumn("_first", F.min("_s").over(Window.partitionBy(key)) == F.col("_s"))
+    more = seq.row_index(per.where("not _first"), [], key, ["_s"], "_rank").select(key, mode, "_rank")
+    t = per.join(more, (per[key] == more[key]) & per[mode].eqNullSafe(more[mode]), "left").select(per[key], per[mode], "_rank")
+    new = F.when(F.col("_rank").isNull(), F.col(key).cast("long")).otherwise((F.col("_top") + F.col("_rank") + 1).cast("long"))
+    return t.crossJoin(F.broadcast(top)).select(key, mode, new.alias(f"new_{key}"))
+
+
 def people(rows: DataFrame, key: str) -> DataFrame:
     """Rows of one person put together: sums of distance, time and sprints, largest speed, whether any has a card, and the time-weighted mean of confirmed scores (a second at least each) with a status: confirmed, partial or pending; notes in order, each once."""
     d = lambda c: F.sum(c.cast("decimal(28,6)")).cast("double")

@@ -78,11 +78,15 @@ def dense_calibration(samples: DataFrame, frames: DataFrame, keys: list[str], at
     return out.withColumn(values, F.col("_h")).drop("_h").withColumn("accepted", F.coalesce(F.col("bracket") <= most, F.lit(False)))
 
 
-def eligible(det: DataFrame, bounds: tuple[float, float, float, float], window: int) -> DataFrame:
-    """Rows that a path is made of: frames that hold an id more than once and points out of bounds are dropped first, and split the runs; runs shorter than the window go. `run` names a run within its id."""
-    once = det.groupBy("gid", "frame").agg(F.count("*").alias("_c"), F.first("x").alias("x"), F.first("y").alias("y")).where("_c = 1").drop("_c")
-    r = seq.runs(once.where(inside(F.col("x"), F.col("y"), bounds)), "gid", "frame")
-    return r.withColumn("_n", F.count("*").over(Window.partitionBy("gid", "run"))).where(F.col("_n") >= window).drop("_n")
+def eligible(det: DataFrame, bounds: tuple[float, float, float, float], window: int, keys: tuple[str, ...] = (), calibrated: DataFrame | None = None) -> DataFrame:
+    """Rows that a path is made of: frames that hold an id more than once, points out of bounds and, with calibrated (keys, frame), frames that aren't there are dropped first, and split the runs; runs shorter than the window go. `run` names a run within its id."""
+    who = [*keys, "gid"]
+    once = det.groupBy(*who, "frame").agg(F.count("*").alias("_c"), F.first("x").alias("x"), F.first("y").alias("y")).where("_c = 1").drop("_c")
+    once = once.where(inside(F.col("x"), F.col("y"), bounds))
+    if calibrated is not None:
+        once = once.join(calibrated.select(*keys, "frame").distinct(), [*keys, "frame"], "left_semi")
+    r = seq.runs(once, who, "frame")
+    return r.withColumn("_n", F.count("*").over(Window.partitionBy(*who, "run"))).where(F.col("_n") >= window).drop("_n")
 
 
 def running_report(det: DataFrame, series: DataFrame, bounds: tuple[float, float, float, float], window: int, interval: int, fps: float, high: float = 4.5) -> DataFrame:

@@ -43,6 +43,14 @@ def calibration(frames: DataFrame, accepted: Column, error: str, keys: list[str]
     )
 
 
+def acceptance(sample: DataFrame, labels: DataFrame, key: str, wanted: int = 20, least: float = 0.9) -> DataFrame:
+    """One row: the sample's size, how many of it have a valid label (true or false; labels of rows outside the sample don't count), agreements, their rate, and whether all `wanted` are labelled and the rate reaches `least`. labels (key, label)."""
+    said = labels.where(F.col("label").isNotNull()).groupBy(key).agg(F.bool_and("label").alias("label"))
+    t = sample.select(key).distinct().join(said, key, "left")
+    n, yes = F.count("label"), F.count_if("label")
+    return t.agg(F.count("*").alias("sample"), n.alias("labelled"), yes.alias("agreed"), F.when(n > 0, F.round(yes / n, 6)).alias("rate"), F.coalesce((n == wanted) & (yes / F.nullif(n, F.lit(0)) >= least), F.lit(False)).alias("passed"))
+
+
 def counters(rows: DataFrame, **conditions: Column) -> DataFrame:
     """One row: how many rows meet each condition."""
     return rows.agg(*[F.count_if(c).alias(n) for n, c in conditions.items()])

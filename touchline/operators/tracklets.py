@@ -108,3 +108,20 @@ def circular_mean(angle: Column, weight: Column, period: float) -> Column:
     d = lambda c: F.sum(c.cast("decimal(28,12)")).cast("double")
     s, c = d(weight * F.sin(turn)), d(weight * F.cos(turn))
     return F.when(d(weight) > 0, F.pmod(F.degrees(F.atan2(s, c)) * (period / 360), F.lit(period)))
+
+
+def representative_hsv(pixels: DataFrame, key: str) -> DataFrame:
+    """(key, hue, saturation, value) of a jersey's pixels (key, h, s, v; OpenCV's bytes): white ones by the medians of their pale pixels, with hue 0; others by the circular mean hue, weighted by saturation, and the medians of
+    the colourful ones; all medians where none is colourful. Bytes have 256 values, so that the medians' buffers stay small."""
+    pale, white, colourful = (F.col("s") < 55) & (F.col("v") >= 80), (F.col("s") < 45) & (F.col("v") >= 100), F.col("s") >= 45
+    middle = lambda c, where=None: F.percentile(F.col(c) if where is None else F.when(where, F.col(c)), F.lit(0.5))
+    angle, weight = F.radians(F.col("h") * 2.0), F.col("s") / 255.0
+    part = lambda f: F.sum(F.when(colourful, f(angle) * weight).cast("decimal(28,12)")).cast("double")
+    t = pixels.groupBy(key).agg(
+        (F.count_if(white) / F.count("*")).alias("w"), F.count_if(colourful).alias("c"), part(F.sin).alias("sin"), part(F.cos).alias("cos"), middle("h").alias("h"),
+        *[middle(x, cond).alias(f"{x}_{n}") for x in "sv" for n, cond in (("all", None), ("pale", pale), ("col", colourful))],
+    )
+    turn = F.degrees(F.atan2("sin", "cos"))
+    hue = F.pmod(F.when(turn < 0, turn + 360.0).otherwise(turn), F.lit(360.0)) / 2.0
+    pick = lambda x: F.when(F.col("w") >= 0.55, F.col(f"{x}_pale")).when(F.col("c") == 0, F.col(f"{x}_all")).otherwise(F.col(f"{x}_col"))
+    return t.select(key, F.round(F.when(F.col("w") >= 0.55, 0.0).when(F.col("c") == 0, F.col("h")).otherwise(hue), 6).alias("hue"), pick("s").alias("saturation"), pick("v").alias("value"))

@@ -54,3 +54,23 @@ def remap(det: DataFrame, mapping: DataFrame, id_col: str = "gid") -> DataFrame:
 
 def unmapped(det: DataFrame, mapping: DataFrame, id_col: str = "gid") -> DataFrame:
     return det.select(id_col).distinct().join(mapping, id_col, "left_anti")
+
+
+def remap_events(events: DataFrame, assignments: DataFrame, id_col: str = "gid") -> DataFrame:
+    """All events with player_id and team of their id's assignment (gid, player_id, team, reviewed), and whether a person must look: no id, no assignment, or one that isn't reviewed."""
+    a = assignments.select(F.col("gid").alias(id_col), "player_id", "team", "reviewed")
+    t = events.join(a, id_col, "left")
+    return t.withColumn("identity_review_required", ~F.coalesce("reviewed", F.lit(False))).drop("reviewed")
+
+
+def remap_counts(det: DataFrame, mapping: DataFrame, id_col: str = "gid") -> DataFrame:
+    """One row: how many rows remap() writes, and how many it drops for want of an id."""
+    known = mapping.select(id_col).distinct().withColumn("_known", F.lit(True))
+    return det.join(known, id_col, "left").agg(F.count("_known").alias("written"), (F.count("*") - F.count("_known")).alias("dropped"))
+
+
+def field_votes(det: DataFrame, track: str, good: Column, fits: Column, share: float = 0.25, least: float = 0.5, few: int = 3) -> DataFrame:
+    """det without tracks that don't belong on the field, and without the rows that don't fit: a track stays if enough of its rows are good (or it has too few to tell) and enough of them fit."""
+    per = det.groupBy(track).agg(F.count("*").alias("n"), F.count_if(good).alias("s"), F.count_if(fits).alias("f"))
+    kept = per.where(((F.col("n") < few) | (F.col("s") >= share * F.col("n"))) & (F.col("f") >= least * F.col("n"))).select(track)
+    return det.where(F.coalesce(fits, F.lit(False))).join(kept, track, "left_semi")

@@ -10,9 +10,9 @@ from touchline.operators import clusters, identity, possession
 from .registry import query, rnd
 
 
-@query("SELECT gid, count(*) FILTER (c > 1) AS collisions, min(frame) FILTER (c > 1) AS first_collision, max(frame) FILTER (c > 1) AS last_collision, coalesce(max(gap), 0) AS max_gap FROM (SELECT *, frame - lag(frame) OVER (PARTITION BY gid ORDER BY frame) AS gap FROM (SELECT gid, frame, count(*) AS c FROM det GROUP BY ALL)) GROUP BY gid", "det")
+@query("SELECT gid, count(*) FILTER (c > 1) AS collisions, min(frame) FILTER (c > 1) AS first_collision, max(frame) FILTER (c > 1) AS last_collision, coalesce(array_to_string(list_sort(list(frame) FILTER (c > 1)), ';'), '') AS collision_frames, coalesce(max(gap), 0) AS max_gap FROM (SELECT *, frame - lag(frame) OVER (PARTITION BY gid ORDER BY frame) AS gap FROM (SELECT gid, frame, count(*) AS c FROM det GROUP BY ALL)) GROUP BY gid", "det")
 def identity_quality(v):
-    return identity.quality(v.det())
+    return identity.quality(v.det()).withColumn("collision_frames", F.array_join(F.col("collision_frames").cast("array<string>"), ";"))
 
 
 @query("SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 2 END, value DESC, event_id) AS k FROM events) ORDER BY k, user_id LIMIT 50")

@@ -8,7 +8,7 @@ from touchline.functions import geom, seq
 from touchline.operators import candidates, events, identity, possession, running, tracks, views
 from touchline.streaming import windows
 
-from . import attribute_queries, match_queries, player_queries  # noqa: F401  register their queries
+from . import attribute_queries, match_queries, overview_queries, player_queries  # noqa: F401  register their queries
 from .registry import ORACLES, QUERIES, query, rnd  # noqa: F401
 
 

@@ -145,3 +145,13 @@ def crop_files(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "frame_*.jpg").load(path).select("path")
     part = lambda p: F.regexp_extract("path", p, 1).try_cast("int")
     return files.select(part(r"gid_(\d+)/frame_").alias("global_id"), part(r"/frame_(\d+)\.jpg$").alias("frame"), "path").where("global_id is not null and frame is not null")
+
+
+def read_audit(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
+    """A CSV file of a manual audit or of candidates, all columns as text under trimmed names without a byte-order mark; columns that are lacking are an error, and rows without any value are left out."""
+    rows = spark.read.option("header", True).csv(path)
+    rows = rows.toDF(*[c.strip("\ufeff ") for c in rows.columns])
+    lacking = [c for c in required if c not in rows.columns]
+    if lacking:
+        raise ValueError(f"{path} lacks {lacking}")
+    return rows.where(F.coalesce(*[F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")) for c in rows.columns]).isNotNull())

@@ -54,10 +54,15 @@ def read_team_map(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).csv(path).select(F.col("global_id").cast("int").alias("global_id"), "team_id")
 
 
-def read_homographies(spark: SparkSession, path: str) -> DataFrame:
-    """Accepted frames' finite 3x3 matrices, row by row, from a calibration document."""
+def read_homographies(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """Accepted frames' finite 3x3 matrices, row by row, from a calibration document. Strictly, a document whose validation wasn't passed, or without an accepted matrix, is an error."""
     frame = "struct<proc_idx:int,accepted:boolean,H_image_to_pitch_m:array<array<double>>>"
-    rows = spark.read.option("multiLine", True).schema(f"frames array<{frame}>").json(path).select(F.explode("frames").alias("f"))
+    document = spark.read.option("multiLine", True).schema(f"validation struct<passed:boolean>, frames array<{frame}>").json(path)
+    rows = document.select(F.explode("frames").alias("f"))
+    if strict:
+        if not document.where("validation.passed").isEmpty() and not read_homographies(spark, path).isEmpty():
+            return read_homographies(spark, path)
+        raise ValueError(f"not a validated calibration: {path}")
     h = F.flatten("f.H_image_to_pitch_m")
     fine = (F.size(h) == 9) & F.forall(h, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     return rows.where(F.coalesce("f.accepted", F.lit(True)) & fine).select(F.col("f.proc_idx").alias("frame_proc"), h.alias("h"))
