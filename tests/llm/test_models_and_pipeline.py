@@ -110,6 +110,70 @@ def test_rollup_of_a_broken_compaction(spark, monkeypatch):
     assert roll.compact("all") and totals(roll) == {("x", "en"): (1, 10)}
 
 
+def broken_off(spark, folder):
+    """What a writer leaves that was broken off: files, but no mark that they are whole."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(f"{folder}/_SUCCESS")
+    assert at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, False)
+
+
+def test_a_commit_that_broke_off_counts_once_it_is_repeated(spark):
+    rows = lambda *r: spark.createDataFrame(r, "doc_id long, source string, lang string, tokenizer string, n_tokens long, n_chars long")
+    a, b = (1, "x", "en", "t", 10, 40), (2, "x", "en", "t", 5, 9)
+    roll = tokencounts.Rollup(spark)
+    roll.commit("1", tokencounts.inserts(rows(a)))
+    roll.commit("2", tokencounts.inserts(rows(b, b)))
+    broken_off(spark, f"{roll.path}/batch=2")
+    assert roll.committed() == ["1"] and totals(roll) == {("x", "en"): (1, 10)}
+    again = tokencounts.Rollup(spark, roll.path)
+    assert again.commit("2", tokencounts.inserts(rows(b))) and not again.commit("2", tokencounts.inserts(rows(b)))
+    assert totals(again) == {("x", "en"): (2, 15)} == totals(roll)
+
+
+def test_a_scan_that_broke_off_is_made_again(spark):
+    from touchline.llm import secrets
+
+    docs = spark.createDataFrame([(1, "token=abcdef0"), (2, "nothing")], "doc_id long, text string")
+    ledger = secrets.Ledger(spark)
+    assert ledger.scan(docs.where("doc_id = 2")).count() == 1
+    ledger.scan(docs)
+    broken_off(spark, ledger._batches()[-1])
+    assert ledger.table().count() == 1
+    again = secrets.Ledger(spark, ledger.path)
+    assert again.scan(docs).count() == 2 and again.table().where("size(spans) > 0").count() == 1
+    assert again.scan(docs).count() == 2  # nothing is unseen any more
+
+
+def test_texts_beyond_what_models_are_fitted_on(spark):
+    """Fitting leaves out the longest texts; scores see all of every text, however long."""
+    docs, labels = (spark.read.parquet(f"{MORE}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    telling = sorted(model.weights, key=model.weights.get)[-5:]
+    plain = "lorem ipsum dolor sit amet " * 8000
+    assert len(plain) > 9 * toxicity.LONGEST
+    text = plain + " ".join(x.removeprefix("^") for x in telling)
+    df = spark.createDataFrame([(1, plain), (2, text)], "doc_id long, text string")
+    got = {r.doc_id: r.severity for r in toxicity.with_severity(df, model).collect()}
+    assert got[2] > got[1]
+    scores = quality.op1_quality(docs.select("doc_id", "text").unionByName(df.selectExpr("doc_id - 10 doc_id", "text")), labels)
+    assert all(0 <= r.score <= 1 for r in scores.where("doc_id < 0").collect()) and scores.where("doc_id < 0").count() == 2
+
+
+def test_a_very_long_text_is_packed_whole(spark):
+    from touchline.llm import packing
+
+    text = " ".join(f"word{k % 977}" for k in range(120_000))
+    want = [*encoder(tokenizer_path())(text).tolist(), 0]
+    rows = packing.op9_packing(spark.createDataFrame([(1, text), (2, "short"), (3, None)], "doc_id long, text string")).collect()
+    mine = sorted((r for r in rows if r.doc_id == 1), key=lambda r: r.piece)
+    assert [r.piece for r in mine] == list(range(len(mine))) and sum(r.length for r in mine) == len(want) > 100_000
+    at = 0
+    for r in mine:
+        assert r.start == at and r.ids_crc32 == zlib.crc32(np.array(want[at : at + r.length], dtype="<u4").tobytes())
+        assert r.length == 2048 or r.piece == 0
+        at += r.length
+
+
 def ids(df):
     return sorted(r.doc_id for r in df.select("doc_id").collect())
 

@@ -259,8 +259,8 @@ def data(text: str | bytes | None) -> bytes:
     return text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
 
 
-def runs(docs: DataFrame, length: int, core: int, once: bool) -> DataFrame:
-    """Anchored runs of every document (doc_id, row, text); with once, of a document's equal contexts one only."""
+def runs(docs: DataFrame, length: int, core: int) -> DataFrame:
+    """Anchored runs of every document (doc_id, row, text)."""
 
     def run(batches):
         for b in batches:
@@ -268,11 +268,7 @@ def runs(docs: DataFrame, length: int, core: int, once: bool) -> DataFrame:
             for k, t in enumerate(b.column(2)):
                 x = np.frombuffer(data(t.as_py()), dtype=np.uint8)
                 if len(x) >= length:
-                    cols = anchored(x, length, core)
-                    if once:
-                        first = np.sort(np.unique(cols[4], return_index=True)[1])
-                        cols = [c[first] for c in cols]
-                    s, n, c, key, ctx = cols
+                    s, n, c, key, ctx = anchored(x, length, core)
                     got.append((k, s, n, c, core, key, ctx))
             yield _runs(b.column(0), b.column(1), got)
 
@@ -393,23 +389,21 @@ def sorted_hits(ctx: DataFrame, length: int) -> DataFrame:
     return ctx.repartition("key").sortWithinPartitions("kinds", "key", "ctx").mapInArrow(run, "key long, ctx long, a int, b int")
 
 
-def repeated(docs: DataFrame, length: int = 400, core: int | None = None, once: bool = False) -> DataFrame:
+def repeated(docs: DataFrame, length: int = 400, core: int | None = None) -> DataFrame:
     """(doc_id, row, a, b): stretches [a, b) of bytes of docs (doc_id, row, text), each covered by repeated strings of `length` bytes.
 
     Windows are routed by their anchors. Equal contexts meet by their hashes (twice 64 bits) and count as one text with a weight: of two or more,
     every window is repeated. Contexts that differ but share a core are compared by suffix arrays; a core with more than GROUP
     of them is first split: one run of each of its contexts, with the weight, goes on as two with longer cores, down to single windows, so that no group of any size meets in a task.
-    Anchors have `core` bytes, half of a window's by default. With once, a document's equal contexts count as one, and anchors that one document alone has are left out.
+    Anchors have `core` bytes, half of a window's by default.
     """
-    found, now = [], cut(runs(docs, length, core or length // 2, once).withColumn("w", F.lit(1).cast("long")), "runs")
+    found, now = [], cut(runs(docs, length, core or length // 2).withColumn("w", F.lit(1).cast("long")), "runs")
+    place = ["doc_id", "row", "s", "n", "core", "core_len"]
     while True:
-        per = now.groupBy("key", "ctx").agg(F.sum("w").alias("w"), F.min(F.struct("doc_id", "row", "s", "n", "core", "core_len")).alias("r"))
-        who = F.struct("r.doc_id", "r.row")
-        keys = per.groupBy("key").agg(F.sum("w").alias("total"), F.count("*").alias("kinds"), F.min("w").alias("least"), F.max("w").alias("most"), F.min(who).alias("lo"), F.max(who).alias("hi")).where("total > 1")
-        if once:
-            keys = keys.where("most > 1 or not (lo <=> hi)")
-        keys = keys.drop("most", "lo", "hi")
-        cand = cut(per.join(keys, "key").select("key", "ctx", "w", "kinds", "least", "r.*"), "candidates")
+        # any run stands for those of its context: all firsts are of one row
+        per = now.groupBy("key", "ctx").agg(F.sum("w").alias("w"), *[F.first(c).alias(c) for c in place])
+        keys = per.groupBy("key").agg(F.sum("w").alias("total"), F.count("*").alias("kinds"), F.min("w").alias("least")).where("total > 1")
+        cand = cut(per.join(keys, "key").select("key", "ctx", "w", "kinds", "least", *place), "candidates")
         whole = cand.where("w > 1").select("key", "ctx", F.lit(0).alias("a"), F.col("n").alias("b"))
         mixed = cand.where("kinds > 1 and least = 1")
         small = mixed.where(F.col("kinds") <= GROUP).drop("w", "least")
