@@ -35,6 +35,7 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left becomes token ids in sequences of 2048, a row for each piece; null and empty texts are one id, and rows of null or repeated ids are packed like any others."""
     return packing.op9_packing(docs, tokenizer_path())
 
 

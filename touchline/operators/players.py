@@ -71,12 +71,15 @@ def evenly(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
 
 
 def smoothed_heat(cells: DataFrame, nx: int, ny: int, sigma: float, radius: int) -> DataFrame:
-    """cells (cx, cy, n) after a Gaussian of that radius, over the peak. Each cell's count goes to the cells that it reaches, those of the grid only."""
-    off = F.sequence(F.lit(-radius), F.lit(radius))
-    t = cells.select("cx", "cy", "n", F.explode(off).alias("dx")).select("*", F.explode(off).alias("dy"))
-    weight = F.exp(-(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")) / F.lit(2 * sigma * sigma))
-    t = t.select((F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"), (F.col("n") * weight).cast("decimal(28,9)").alias("v"))
-    t = t.where(F.col("cx").between(0, nx - 1) & F.col("cy").between(0, ny - 1)).groupBy("cx", "cy").agg(F.sum("v").cast("double").alias("v"))
+    """cells (cx, cy, n) after a Gaussian of that radius, over the peak. A Gaussian is one along x, then one along y: each pass sends a cell's value to the cells of its row or column that it reaches, those of the grid only."""
+    weight = lambda d: F.exp(-(F.col(d) * F.col(d)) / F.lit(2 * sigma * sigma))
+
+    def along(t: DataFrame, axis: str, other: str, size: int) -> DataFrame:
+        t = t.select(axis, other, "v", F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("d"))
+        t = t.select((F.col(axis) + F.col("d")).alias(axis), other, (F.col("v") * weight("d")).cast("decimal(28,12)").alias("v")).where(F.col(axis).between(0, size - 1))
+        return t.groupBy(axis, other).agg(F.sum("v").cast("double").alias("v"))
+
+    t = along(along(cells.select("cx", "cy", F.col("n").cast("double").alias("v")), "cx", "cy", nx), "cy", "cx", ny)
     top = t.agg(F.max("v").alias("_m"))  # one row
     return t.crossJoin(F.broadcast(top)).select("cx", "cy", F.round(F.col("v") / F.col("_m"), 6).alias("heat"))
 
