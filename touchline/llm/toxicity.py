@@ -115,6 +115,8 @@ def with_severity(docs: DataFrame, model: OrdinalModel, text_col: str = "text",
 def op8_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, severity, grade, toxic) per document: severity is the expected grade. Null and empty texts get what the thresholds alone say; rows of null or repeated ids are returned each; extra columns are ignored.
 
+    Labels say toxic or not. So only the bound between grades 0 and 1 is measured against them; grades 1 to 3 count a toxic text's different telling words, an order that no label checks.
+
     Without labels of both kinds nothing is toxic.
     """
     out = with_severity(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), train(docs, labels)).drop("text")
