@@ -35,3 +35,20 @@ def test_shared_passages(spark, monkeypatch, group):
     assert want == set(range(6, 13))
     got = suffixes.op6_suffixes(df).collect()
     assert {r.doc_id for r in got if r.shared_passage} == want and len(got) == len(rows)
+
+
+@pytest.mark.parametrize("rows", [1, 3, 7, 1000])
+def test_meetings_over_batches(spark, rows):
+    """Groups that go over several Arrow batches, of one document or of many."""
+    rng = random.Random(rows)
+    found = [(k, c, w, rng.randint(0, 9)) for k in range(12) for c in range(rng.randint(1, 6)) for w in {k * 100 + rng.randint(0, 1 + k // 3) for _ in range(rng.randint(1, 12))}]
+    found += [(50, 7, 5, n) for n in range(15)] + [(51, c, 5, c) for c in range(9)] + [(52, c, 5 + c // 8, c) for c in range(9)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    try:
+        got = suffixes.meetings(spark.createDataFrame(found, "key long, ctx long, who long, at long")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    many = lambda same: len({r[2] for r in found if same(r)}) > 1
+    want = [(k, w, at, many(lambda r: r[:2] == (k, c))) for k, c, w, at in found if many(lambda r: r[0] == k)]
+    assert sorted(map(tuple, got)) == sorted(want)

@@ -398,12 +398,11 @@ def repeated(docs: DataFrame, length: int = 400, core: int | None = None) -> Dat
     Anchors have `core` bytes, half of a window's by default.
     """
     found, now = [], cut(runs(docs, length, core or length // 2).withColumn("w", F.lit(1).cast("long")), "runs")
-    place = ["doc_id", "row", "s", "n", "core", "core_len"]
     while True:
-        # any run stands for those of its context: all firsts are of one row
-        per = now.groupBy("key", "ctx").agg(F.sum("w").alias("w"), *[F.first(c).alias(c) for c in place])
+        # a minimum, not just any run, so that Spark shuffles the runs once for both uses
+        per = now.groupBy("key", "ctx").agg(F.sum("w").alias("w"), F.min(F.struct("doc_id", "row", "s", "n", "core", "core_len")).alias("r"))
         keys = per.groupBy("key").agg(F.sum("w").alias("total"), F.count("*").alias("kinds"), F.min("w").alias("least")).where("total > 1")
-        cand = cut(per.join(keys, "key").select("key", "ctx", "w", "kinds", "least", *place), "candidates")
+        cand = cut(per.join(keys, "key").select("key", "ctx", "w", "kinds", "least", "r.*"), "candidates")
         whole = cand.where("w > 1").select("key", "ctx", F.lit(0).alias("a"), F.col("n").alias("b"))
         mixed = cand.where("kinds > 1 and least = 1")
         small = mixed.where(F.col("kinds") <= GROUP).drop("w", "least")
@@ -470,29 +469,80 @@ def word_codes(text: bytes) -> bytes:
     return np.concatenate(out).tobytes()
 
 
-def coded(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, text): each text as its words' codes."""
+def anchors(docs: DataFrame, words: int, core: int) -> DataFrame:
+    """(key, ctx, who, at): anchored runs of windows of so many words of (who, text), each of a document's different contexts once. `at` holds a run's start and, in its last eight bits, its windows."""
 
     def run(batches):
         for b in batches:
-            codes = pa.array([word_codes(data(t.as_py())) for t in b.column(2)], type=pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), codes], names=["doc_id", "row", "text"])
+            who, cols = [], [[], [], []]
+            for w, t in zip(b.column(0).to_pylist(), b.column(1)):
+                x = np.frombuffer(word_codes(data(t.as_py())), dtype=np.uint8)
+                if len(x) < words:
+                    continue
+                s, n, _, key, ctx = anchored(x, words, core)
+                first = np.unique(ctx, return_index=True)[1]
+                for col, v in zip(cols, (key[first].view(np.int64), ctx[first].view(np.int64), s[first] << 8 | n[first])):
+                    col.append(v)
+                who.append(np.full(len(first), w))
+            if who:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (*cols[:2], who, cols[2])], names=["key", "ctx", "who", "at"])
+
+    return docs.select("who", "text").mapInArrow(run, "key long, ctx long, who long, at long")
 
-    return docs.mapInArrow(run, "doc_id long, row long, text binary")
 
+def meetings(found: DataFrame) -> DataFrame:
+    """(key, who, at, whole): the runs of keys that two documents have; `whole` where two have the whole context.
+
+    Runs are sorted by key and context, and what a task holds is settled from group to group: of a group that one document alone has so far, its rows wait; once there is a second one, rows go out as
+    they come. So a passage that very many documents share costs no memory.
+    """
 
-def anchors(coded: DataFrame, words: int, core: int) -> DataFrame:
-    """(who, key, ctx, s, n): anchored runs of windows of so many words, each of a document's different contexts once. `who` stands for a document (doc_id, row)."""
+    def runs_of(*cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(group of each row, whether the group has two documents) of rows sorted by cols[:-1]; the last column is the document."""
+        new = np.zeros(len(cols[0]), dtype=bool)
+        for c in cols[:-1]:
+            new[1:] |= c[1:] != c[:-1]
+        new[:1] = True
+        start, group = np.flatnonzero(new), np.cumsum(new) - 1
+        lo, hi = (f.reduceat(cols[-1], start) for f in (np.minimum, np.maximum))
+        return group, lo != hi
 
     def run(batches):
+        held = [np.empty(0, dtype=np.int64)] * 4
+        known = (None, None, False, False)  # the last key and context that went out, and whether two documents have them
+
+        def settle(k: list[np.ndarray], last: bool):
+            """Rows that can go out, and those that wait for more of their key or context."""
+            nonlocal known
+            key, ctx, who, at = k
+            if not len(key):
+                return None, k
+            kg, k2 = runs_of(key, who)
+            cg, c2 = runs_of(key, ctx, who)
+            if known[0] == key[0]:
+                k2[0] |= known[2]
+                if known[1] == ctx[0]:
+                    c2[0] |= known[3]
+            wait = np.zeros(len(key), dtype=bool)
+            if not last:
+                # the last group may go on: its rows wait unless it has two documents already
+                wait |= (kg == kg[-1]) & ~k2[-1]
+                wait |= (cg == cg[-1]) & ~c2[-1]
+            out = k2[kg] & ~wait
+            known = (key[-1], ctx[-1], bool(k2[-1]), bool(c2[-1]))
+            batch = pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(who[out]), pa.array(at[out]), pa.array(c2[cg][out])], names=["key", "who", "at", "whole"])
+            return batch, [c[wait] for c in k]
+
         for b in batches:
-            got = [(k, *anchored(x, words, core)) for k, t in enumerate(b.column(1)) if len(x := np.frombuffer(t.as_py(), dtype=np.uint8)) >= words]
-            first = [np.sort(np.unique(g[5], return_index=True)[1]) for g in got]
-            who = b.column(0).take(pa.array(np.concatenate([np.full(len(f), g[0]) for g, f in zip(got, first)] or [np.empty(0, dtype=np.int64)])))
-            s, n, key, ctx = (np.concatenate([g[j][f] for g, f in zip(got, first)] or [np.empty(0, dtype=np.int64)]) for j in (1, 2, 4, 5))
-            yield pa.RecordBatch.from_arrays([who, pa.array(key.astype(np.uint64).view(np.int64)), pa.array(ctx.astype(np.uint64).view(np.int64)), pa.array(s.astype(np.int64)), pa.array(n.astype(np.int32))], names=["who", "key", "ctx", "s", "n"])
+            held = [np.concatenate([h, b.column(c).to_numpy()]) for h, c in zip(held, ("key", "ctx", "who", "at"))]
+            out, held = settle(held, False)
+            if out is not None and out.num_rows:
+                yield out
+        out, _ = settle(held, True)
+        if out is not None and out.num_rows:
+            yield out
 
-    return coded.select("who", "text").mapInArrow(run, "who long, key long, ctx long, s long, n int")
+    return found.repartition("key").sortWithinPartitions("key", "ctx").mapInArrow(run, "key long, who long, at long, whole boolean")
 
 
 def windows(held: DataFrame, words: int) -> DataFrame:
@@ -500,36 +550,30 @@ def windows(held: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for who, t, rs in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
-                h = Hashed(np.frombuffer(t.as_py(), dtype=np.uint8))
-                at = np.unique(np.concatenate([np.arange(r["s"], r["s"] + r["n"]) for r in rs]))
+            for who, t, rs in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                h, r = Hashed(np.frombuffer(word_codes(data(t.as_py())), dtype=np.uint8)), rs.values.to_numpy()
+                at = np.unique(np.concatenate([np.arange(a >> 8, (a >> 8) + (a & 255)) for a in r.tolist()]))
                 got = np.unique(h.of(at, at + words)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), who)), pa.array(got)], names=["who", "window"])
 
     return held.mapInArrow(run, "who long, window long")
 
 
-def in_two(rows: DataFrame, col: str) -> DataFrame:
-    """Values that rows of two documents have."""
-    return rows.groupBy(col).agg(F.min("who").alias("lo"), F.max("who").alias("hi")).where("lo <> hi").select(col)
-
-
 def shared_passages(docs: DataFrame, words: int = 51) -> DataFrame:
     """(doc_id, row) of the documents that hold a passage of so many words that another one holds, too, whatever white space parts them.
 
-    Texts become one byte a word, so many of which are as good as a long hash. Windows are routed by anchors as those of bytes are, but only keys that two documents have go on. Equal contexts
-    settle most documents; of the others, and of what shares a key with them, the single windows are compared by their hashes. Counts are partial minima and maxima, so that no passage is too common.
+    Texts become one byte a word, so many of which are as good as a long hash. Windows are routed by anchors as those of bytes are, and only keys that two documents have go on. Equal contexts
+    settle most documents; of the others, and of what shares a key with them, the single windows are compared by their hashes.
     """
-    who = F.xxhash64("doc_id", "row")
-    code = cut(coded(docs).select("doc_id", "row", who.alias("who"), "text"), "coded")
-    found = cut(anchors(code, words, words // 3), "anchors")
-    cand = cut(found.join(sized(cut(in_two(found, "key"), "keys")), "key", "left_semi"), "candidates")
-    same = cut(cand.join(sized(in_two(cand, "ctx")), "ctx", "left_semi").select("who").distinct(), "same")
-    open_keys = cand.join(sized(same), "who", "left_anti").select("key").distinct()
-    rest = cand.join(sized(open_keys), "key", "left_semi").groupBy("who").agg(F.collect_list(F.struct("s", "n")).alias("runs"))
-    w = cut(windows(code.select("who", "text").join(sized(rest), "who").select("who", "text", "runs"), words), "windows")
-    more = w.join(sized(in_two(w, "window")), "window", "left_semi").select("who")
-    return code.join(sized(cut(same.union(more).distinct(), "shared")), "who", "left_semi").select("doc_id", "row").distinct()
+    named = docs.withColumn("who", F.xxhash64("doc_id", "row"))
+    cand = cut(meetings(anchors(named, words, words // 3)), "meetings")
+    same = cut(cand.where("whole").select("who").distinct(), "same")
+    open_keys = cut(cand.join(sized(same), "who", "left_anti").select("key").distinct(), "open")
+    rest = cand.join(sized(open_keys), "key", "left_semi").groupBy("who").agg(F.collect_list("at").alias("runs"))
+    w = cut(windows(named.select("who", "text").join(sized(cut(rest, "rest"), 50_000), "who").select("who", "text", "runs"), words), "windows")
+    two = w.groupBy("window").agg(F.min("who").alias("lo"), F.max("who").alias("hi")).where("lo <> hi").select("window")
+    more = w.join(sized(cut(two, "shared")), "window", "left_semi").select("who")
+    return named.join(sized(cut(same.union(more).distinct(), "flagged")), "who", "left_semi").select("doc_id", "row").distinct()
 
 
 def op6_suffixes(docs: DataFrame) -> DataFrame:
