@@ -52,3 +52,27 @@ def test_meetings_over_batches(spark, rows):
     many = lambda same: len({r[2] for r in found if same(r)}) > 1
     want = [(k, w, at, many(lambda r: r[:2] == (k, c))) for k, c, w, at in found if many(lambda r: r[0] == k)]
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.parametrize("rows", [1, 4, 1000])
+def test_contexts_are_weighed_over_batches(spark, monkeypatch, rows):
+    """Sums of contexts, also of keys with so many that they don't wait."""
+    monkeypatch.setattr(suffixes, "GROUP", 3)
+    rng = random.Random(rows)
+    runs = [(rng.choice([None, d]), 1, 2, 3, 4, 5, k, c, rng.randint(1, 2)) for k in range(9) for c in range(k) for d in range(rng.randint(1, 4))]
+    runs += [(7, 1, 2, 3, 4, 5, 40, c, 1) for c in range(60)] + [(None, 1, 2, 3, 4, 5, 41, 0, 1)] * 30 + [(8, 1, 2, 3, 4, 5, 42, 0, 1)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    try:
+        df = spark.createDataFrame(runs, "doc_id long, row long, s long, n int, core long, core_len int, key long, ctx long, w long")
+        got = {(r.key, r.ctx): (r.w, r.kinds, r.least) for r in suffixes.weighed(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    w: dict = {}
+    for *_, k, c, x in runs:
+        w.setdefault(k, {}).setdefault(c, 0)
+        w[k][c] += x
+    want = {(k, c): (x, len(v), min(v.values())) for k, v in w.items() for c, x in v.items() if sum(v.values()) > 1}
+    assert got.keys() == want.keys() and (42, 0) not in got
+    for at, (x, kinds, least) in want.items():
+        assert got[at] == (x, kinds, least) or (kinds > 3 and got[at] == (x, 4, 1)), at

@@ -389,6 +389,61 @@ def sorted_hits(ctx: DataFrame, length: int) -> DataFrame:
     return ctx.repartition("key").sortWithinPartitions("kinds", "key", "ctx").mapInArrow(run, "key long, ctx long, a int, b int")
 
 
+def weighed(runs: DataFrame) -> DataFrame:
+    """(key, ctx, w, kinds, least, doc_id, row, s, n, core, core_len): a run of each context of the keys that have two runs or more, with the context's weight, and the key's number of contexts and least weight.
+
+    Runs are sorted by key and context and summed as they come. A key waits until all its contexts are known, but one of more than a few times GROUP doesn't: its contexts go out with GROUP + 1 as their
+    number and 1 as the least weight, which is all that a key to be split needs. So neither copies nor contexts of a key fill a task.
+    """
+    place = ["doc_id", "row", "s", "n", "core", "core_len"]
+    cols = ["key", "ctx", "w", *place]
+
+    def run(batches):
+        held, hot = None, None  # sums of the last key's contexts so far; the key that didn't wait
+
+        def summed(t: pa.RecordBatch) -> pa.RecordBatch:
+            key, ctx, w = (t.column(k).to_numpy() for k in range(3))
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1])))
+            start = np.flatnonzero(new)
+            return t.take(pa.array(start)).set_column(2, "w", pa.array(np.add.reduceat(w, start)))
+
+        def told(t: pa.RecordBatch) -> pa.RecordBatch:
+            """Contexts of whole keys, or of the hot one."""
+            key, w = t.column(0).to_numpy(), t.column(2).to_numpy()
+            start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            n = np.diff(np.append(start, len(key)))
+            total, least = np.add.reduceat(w, start), np.minimum.reduceat(w, start)
+            kinds = n.astype(np.int64)
+            if hot is not None:
+                kinds, least, total = (np.where(key[start] == hot, v, x) for v, x in ((GROUP + 1, kinds), (1, least), (2, total)))
+            keep = np.repeat(total > 1, n)
+            t = t.filter(pa.array(keep))
+            return pa.RecordBatch.from_arrays([*t.columns[:3], pa.array(np.repeat(kinds, n)[keep]), pa.array(np.repeat(least, n)[keep]), *t.columns[3:]], names=[*cols[:3], "kinds", "least", *place])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([x for x in (held, b) if x is not None]).combine_chunks().to_batches()[0] if held is not None and held.num_rows else b
+            t = summed(t)
+            key = t.column(0).to_numpy()
+            at = 0 if key[0] == key[-1] else len(key) - int((key[::-1] != key[-1]).argmax())
+            if len(key) - at > 4 * GROUP:
+                # the last context may go on
+                hot, at = key[-1], len(key) - 1
+            if at:
+                out = told(t.slice(0, at))
+                if out.num_rows:
+                    yield out
+            held = t.slice(at)
+        if held is not None and held.num_rows:
+            out = told(held)
+            if out.num_rows:
+                yield out
+
+    schema = "key long, ctx long, w long, kinds long, least long, doc_id long, row long, s long, n int, core long, core_len int"
+    return runs.select(cols).repartition("key").sortWithinPartitions("key", "ctx").mapInArrow(run, schema)
+
+
 def repeated(docs: DataFrame, length: int = 400, core: int | None = None) -> DataFrame:
     """(doc_id, row, a, b): stretches [a, b) of bytes of docs (doc_id, row, text), each covered by repeated strings of `length` bytes.
 
@@ -399,10 +454,7 @@ def repeated(docs: DataFrame, length: int = 400, core: int | None = None) -> Dat
     """
     found, now = [], cut(runs(docs, length, core or length // 2).withColumn("w", F.lit(1).cast("long")), "runs")
     while True:
-        # a minimum, not just any run, so that Spark shuffles the runs once for both uses
-        per = now.groupBy("key", "ctx").agg(F.sum("w").alias("w"), F.min(F.struct("doc_id", "row", "s", "n", "core", "core_len")).alias("r"))
-        keys = per.groupBy("key").agg(F.sum("w").alias("total"), F.count("*").alias("kinds"), F.min("w").alias("least")).where("total > 1")
-        cand = cut(per.join(keys, "key").select("key", "ctx", "w", "kinds", "least", "r.*"), "candidates")
+        cand = cut(weighed(now), "candidates")
         whole = cand.where("w > 1").select("key", "ctx", F.lit(0).alias("a"), F.col("n").alias("b"))
         mixed = cand.where("kinds > 1 and least = 1")
         small = mixed.where(F.col("kinds") <= GROUP).drop("w", "least")
