@@ -441,7 +441,8 @@ def weighed(runs: DataFrame) -> DataFrame:
                 yield out
 
     schema = "key long, ctx long, w long, kinds long, least long, doc_id long, row long, s long, n int, core long, core_len int"
-    return runs.select(cols).repartition("key").sortWithinPartitions("key", "ctx").mapInArrow(run, schema)
+    # the least document stands for a context: so few documents' texts are looked at again
+    return runs.select(cols).repartition("key").sortWithinPartitions("key", "ctx", "doc_id", "row").mapInArrow(run, schema)
 
 
 def repeated(docs: DataFrame, length: int = 400, core: int | None = None) -> DataFrame:
