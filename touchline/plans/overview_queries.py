@@ -264,12 +264,12 @@ def strict_projection(v):
 _PIX = "SELECT user_id AS k, CAST(event_id * 7 % 180 AS INT) AS h, CAST(event_id * CASE WHEN user_id % 3 = 0 THEN 1 ELSE 11 END % CASE WHEN user_id % 3 = 0 THEN 50 ELSE 256 END AS INT) AS s, CAST(120 + event_id % 100 AS INT) AS v FROM events"
 
 
-@query(f"SELECT k, round(CASE WHEN w >= 0.55 THEN 0.0 WHEN c = 0 THEN hm ELSE CASE WHEN a < 0 THEN a + 360 ELSE a END / 2 END, 4) AS hue, CASE WHEN w >= 0.55 THEN sp WHEN c = 0 THEN sa ELSE sc END AS saturation, CASE WHEN w >= 0.55 THEN vp WHEN c = 0 THEN va ELSE vc END AS value FROM (SELECT k, count(*) FILTER (s < 45 AND v >= 100) / count(*) AS w, count(*) FILTER (s >= 45) AS c, quantile_cont(h, 0.5) AS hm, degrees(atan2(sum(sin(radians(h * 2.0)) * (s / 255.0)) FILTER (s >= 45), sum(cos(radians(h * 2.0)) * (s / 255.0)) FILTER (s >= 45))) AS a, quantile_cont(s, 0.5) FILTER (s < 55 AND v >= 80) AS sp, quantile_cont(v, 0.5) FILTER (s < 55 AND v >= 80) AS vp, quantile_cont(s, 0.5) AS sa, quantile_cont(v, 0.5) AS va, quantile_cont(s, 0.5) FILTER (s >= 45) AS sc, quantile_cont(v, 0.5) FILTER (s >= 45) AS vc FROM ({_PIX}) GROUP BY k)")
+@query(f"SELECT k, round(CASE WHEN w >= 0.55 THEN 0.0 WHEN c = 0 THEN hm ELSE CASE WHEN a < 0 THEN a + 360 ELSE a END / 2 END, 6) AS hue, CASE WHEN w >= 0.55 THEN sp WHEN c = 0 THEN sa ELSE sc END AS saturation, CASE WHEN w >= 0.55 THEN vp WHEN c = 0 THEN va ELSE vc END AS value FROM (SELECT k, count(*) FILTER (s < 45 AND v >= 100) / count(*) AS w, count(*) FILTER (s >= 45) AS c, quantile_cont(h, 0.5) AS hm, degrees(atan2(sum(sin(radians(h * 2.0)) * (s / 255.0)) FILTER (s >= 45), sum(cos(radians(h * 2.0)) * (s / 255.0)) FILTER (s >= 45))) AS a, quantile_cont(s, 0.5) FILTER (s < 55 AND v >= 80) AS sp, quantile_cont(v, 0.5) FILTER (s < 55 AND v >= 80) AS vp, quantile_cont(s, 0.5) AS sa, quantile_cont(v, 0.5) AS va, quantile_cont(s, 0.5) FILTER (s >= 45) AS sc, quantile_cont(v, 0.5) FILTER (s >= 45) AS vc FROM ({_PIX}) GROUP BY k)")
 def jersey_colours(v):
     k, e = F.col("user_id"), F.col("event_id")
     s = F.when(k % 3 == 0, e % 50).otherwise(e * 11 % 256)
     p = v.table("events").select(k.alias("k"), (e * 7 % 180).cast("int").alias("h"), s.cast("int").alias("s"), (120 + e % 100).cast("int").alias("v"))
-    return tracklets.representative_hsv(p, "k").withColumn("hue", rnd("hue", 4))
+    return tracklets.representative_hsv(p, "k")
 
 
 # ---- reviews and rules ----
