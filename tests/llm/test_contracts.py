@@ -107,13 +107,13 @@ def test_oracle_sql(spark, docs):
     from touchline.llm import queries
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     for name, sql in queries.oracle_sql().items():
         rel = con.execute(sql)
         names = [c[0] for c in rel.description]
-        got = sorted(map(tuple, queries.queries()[name](spark, SF).select(*names).collect()))
-        assert got == sorted(rel.fetchall()), name
+        got = sorted(map(tuple, queries.queries()[name](spark, SF).select(*names).collect()), key=repr)
+        assert got == sorted(rel.fetchall(), key=repr), name
 
 
 def test_decontaminate_without_items(spark, odd):
