@@ -185,7 +185,7 @@ def purity_page(v):
 _SEG = "SELECT gid, segment, (gid * 3 + segment * segment) % 3 AS mode FROM (SELECT DISTINCT gid, frame // 20 AS segment FROM ticks)"
 
 
-@query(f"SELECT gid, CAST(mode AS INT) AS mode, CASE WHEN s = first THEN CAST(gid AS BIGINT) ELSE (SELECT max(gid) FROM ticks) + sum(CASE WHEN s > first THEN 1 ELSE 0 END) OVER (ORDER BY gid, s) END AS new_gid FROM (SELECT *, min(s) OVER (PARTITION BY gid) AS first FROM (SELECT gid, mode, min(segment) AS s FROM ({_SEG}) GROUP BY gid, mode))", "ticks")
+@query(f"SELECT gid, CAST(mode AS INT) AS mode, CAST(CASE WHEN s = first THEN gid ELSE (SELECT max(gid) FROM ticks) + sum(CASE WHEN s > first THEN 1 ELSE 0 END) OVER (ORDER BY gid, s) END AS BIGINT) AS new_gid FROM (SELECT *, min(s) OVER (PARTITION BY gid) AS first FROM (SELECT gid, mode, min(segment) AS s FROM ({_SEG}) GROUP BY gid, mode))", "ticks")
 def partitions_by_mode(v):
     s = v.ticks().select("gid", F.expr("frame div 20").alias("segment")).distinct()
     s = s.withColumn("mode", ((F.col("gid") * 3 + F.col("segment") * F.col("segment")) % 3).cast("int"))
