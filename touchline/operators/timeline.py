@@ -16,6 +16,10 @@ LOOK, SHOW = (0.55, 0.15), (3.0, 2.0)
 FEE, FAR, LEAD, CLOSE = 0.18, 1.25, 0.12, 0.15
 #: Where events come from, in the order of their counts.
 SOURCES = {"stage4_action_candidate": "stage4_action_candidates", "stable_possession_transition": "possession_transitions", "pass_network_candidate": "active_directed_pass_candidates", "semantic_event_candidate": "semantic_event_candidates"}
+#: What an events document says of itself and of its events.
+VERSION, LABELS, REVIEW = "events-for-annotation-v1", "machine_candidates_without_human_labels", "candidate_requires_review"
+#: Why an event has its actor or none, and how a ledger's row got its own.
+NEAREST, TOO_FAR, NOBODY, PROVISIONAL = "nearest_player_before_event_peak", "nearest_player_too_far_from_ball", "no_reliable_ball_player_overlap", "provisional_nearest_detector_event"
 CANDIDATE = "struct<global_id:int,attribution_score:double,evidence_frame_proc:int,normalized_ball_distance:double>"
 
 
@@ -46,7 +50,7 @@ def attributed(events: DataFrame, ball: DataFrame, boxes: DataFrame, fps: float,
     lead = c["attribution_score"] - F.coalesce(F.get("actor_candidates", F.lit(1))["attribution_score"], F.lit(0.0))
     near = c["normalized_ball_distance"] <= FAR
     sure = near & ((lead >= LEAD) | (c["normalized_ball_distance"] <= CLOSE))
-    reason = F.when(c.isNull(), "no_reliable_ball_player_overlap").when(near, "nearest_player_before_event_peak").otherwise("nearest_player_too_far_from_ball")
+    reason = F.when(c.isNull(), NOBODY).when(near, NEAREST).otherwise(TOO_FAR)
     return out.select(*keys, "event_id", F.when(near, c["global_id"]).alias("primary_global_id"), F.when(F.coalesce(sure, F.lit(False)), "auto").otherwise("review").alias("actor_status"), reason.alias("actor_reason"), "actor_candidates")
 
 
@@ -55,7 +59,7 @@ def _event(kind: str, number: Column, pattern: str, anchor: Column, duration: fl
     pairs = [F.struct(F.lit(n).alias("key"), c.cast("double").alias("value")) for n, c in evidence.items()]
     return [
         F.format_string(pattern, number.cast("long")).alias("event_id"), start.alias("start_time"), end.alias("end_time"), primary.cast("int").alias("primary_global_id"), second.cast("int").alias("secondary_global_id"),
-        label.cast("string").alias("event_type"), F.lit(kind).alias("source_kind"), F.lit("candidate_requires_review").alias("machine_status"), status.alias("actor_status"), reason.alias("actor_reason"),
+        label.cast("string").alias("event_type"), F.lit(kind).alias("source_kind"), F.lit(REVIEW).alias("machine_status"), status.alias("actor_status"), reason.alias("actor_reason"),
         candidates.cast(f"array<{CANDIDATE}>").alias("actor_candidates"), F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["value"].isNotNull())).alias("evidence"),
     ]
 
@@ -81,7 +85,7 @@ def envelope(events: DataFrame) -> DataFrame:
     """One row about a machine_events() table: schema_version, data_status, total_events and counts by source, 0 where there are none."""
     counts = [F.count_if(F.col("source_kind") == k) for k in SOURCES]
     pairs = F.map_from_arrays(F.array(*map(F.lit, SOURCES.values())), F.array(*counts))
-    return events.agg(F.count("*").alias("total_events"), pairs.alias("counts")).select(F.lit("events-for-annotation-v1").alias("schema_version"), F.lit("machine_candidates_without_human_labels").alias("data_status"), "total_events", "counts")
+    return events.agg(F.count("*").alias("total_events"), pairs.alias("counts")).select(F.lit(VERSION).alias("schema_version"), F.lit(LABELS).alias("data_status"), "total_events", "counts")
 
 
 def annotated(ledger: DataFrame, detected: DataFrame, identities: DataFrame, tolerance: float, keys: list[str]) -> DataFrame:
@@ -104,6 +108,6 @@ def annotated(ledger: DataFrame, detected: DataFrame, identities: DataFrame, tol
     return t.select(
         *keys, "event_id", r("start").alias("start_time"), r("end").alias("end_time"), F.round("_t", 3).alias("anchor_time"), attributes.keyword_kind(F.col("tags")).alias("event_type"),
         F.col("_found.primary").alias("primary_global_id"), other.alias("secondary_global_id"), F.when(met, F.round(F.col("_found.score") / 100, 4)).otherwise(0.0).alias("confidence"),
-        F.round(F.abs(F.col("_found.at") - F.col("_t")), 3).alias("delta"), F.when(met, "provisional_nearest_detector_event").otherwise("unassigned").alias("actor_status"),
+        F.round(F.abs(F.col("_found.at") - F.col("_t")), 3).alias("delta"), F.when(met, PROVISIONAL).otherwise("unassigned").alias("actor_status"),
         F.when(known, "eligible_confirmed").otherwise("not_confirmed").alias("identity_status"), "player_id", "jersey_number",
     )
