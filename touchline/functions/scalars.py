@@ -51,10 +51,14 @@ def delivery_window(centre: Column, duration: Column) -> tuple[Column, Column]:
     return F.round(start, 3), F.round(end, 3)
 
 
-def minutes(seconds: Column, floor: bool = False) -> Column:
-    """MM:SS, rounded or cut."""
+def minutes(seconds: Column, floor: bool = False, field: int | None = None) -> Column:
+    """MM:SS, rounded or cut; null stays null. From 100 minutes on, minutes take as many digits as they need, unless `field` fixes the characters of both parts: longer ones then lose their end, and time before zero has its sign in each part."""
     s = (F.floor(seconds) if floor else F.round(seconds)).cast("long")
-    return F.format_string("%02d:%02d", F.floor(s / 60), F.pmod(s, F.lit(60)))
+    if field is not None:
+        rest = s % 60
+        part = lambda v: F.lpad(v.cast("string"), field, "0")
+        return F.concat(part(((s - rest) / 60).cast("long")), F.lit(":"), part(rest))
+    return F.when(s.isNotNull(), F.format_string("%02d:%02d", F.floor(s / 60), F.pmod(s, F.lit(60))))
 
 
 def number(text: Column, default: float) -> Column:
