@@ -280,17 +280,19 @@ def links(fp: DataFrame, turns: list[Turn], near: int | None = None) -> DataFram
     split = F.array(*[F.lit(t.split()) for t in turns])
     width = F.array(*[F.lit(t.width) for t in turns])
     more = F.least(F.get(split, F.col("turn")), F.greatest(F.lit(0), F.ceil(F.log2(F.col("count") / CELL)).cast("int")))
-    # only nodes beyond CELL need their children's sizes
-    n = rot.groupBy("turn", "block").count().where("count > 1").withColumn("more", more)
+    # only nodes beyond CELL need their children's sizes; there are at most as many of them as CELL goes into the rows, so they alone are joined, and rows are shuffled once
+    n = rot.groupBy("turn", "block").count().where(F.col("count") > CELL).withColumn("more", more)
     child = lambda: F.when(F.col("more") > 0, F.expr("shiftrightunsigned(shiftleft(bits, w), 64 - more)")).otherwise(F.lit(0)).cast("int")
     at = lambda d: d.withColumn("w", F.get(width, F.col("turn"))).withColumn("child", child())
+    n = cut(n, "nodes")
     big = sized(n.where("more > 0").select("turn", "block", "more"))
     size = at(rot.join(big, ["turn", "block"])).groupBy("turn", "block", "child").count()
     cells = size.groupBy("turn", "block").agg(F.ceil(F.max("count") / CELL).cast("int").alias("cells"))
     # a node of a few children that bits can't part has more == 0 and cells by its whole count
     n = n.select("turn", "block", "count", "more").join(cells, ["turn", "block"], "left")
-    n = n.select("turn", "block", "more", F.coalesce("cells", F.ceil(F.col("count") / CELL).cast("int")).alias("cells"))
-    rows = at(rot.join(n, ["turn", "block"]))
+    n = cut(n.select("turn", "block", "more", F.coalesce("cells", F.ceil(F.col("count") / CELL).cast("int")).alias("cells")), "large")
+    rows = rot.join(sized(n), ["turn", "block"], "left").withColumn("more", F.coalesce("more", F.lit(0))).withColumn("cells", F.coalesce("cells", F.lit(1)))
+    rows = at(rows)
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("cells")).cast("int"))
     rows = rows.withColumn("mate", F.explode(F.expr("concat(array(child), transform(slice(sequence(0, greatest(more, 1)), 1, more), k -> cast(child ^ shiftleft(1, cast(k as int)) as int)))")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
@@ -300,8 +302,6 @@ def links(fp: DataFrame, turns: list[Turn], near: int | None = None) -> DataFram
         F.when(alone, F.least("own", "other")).when(low, F.col("own")).otherwise(F.col("other")).alias("i"),
         F.when(alone, F.greatest("own", "other")).when(low, F.col("other")).otherwise(F.col("own")).alias("j"),
         F.when(alone, F.col("own") > F.col("other")).otherwise(~low).cast("int").alias("side"), "bits", *far, "node",
-        # unsigned order
-        F.col("bits").bitwiseXOR(F.lit(-(1 << 63))).alias("sorted"),
     )
     keys = ["turn", "block", "a", "b", "i", "j"]
 
@@ -325,7 +325,8 @@ def links(fp: DataFrame, turns: list[Turn], near: int | None = None) -> DataFram
         if held and (t := pa.Table.from_batches(held)).num_rows:
             yield flush(t)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "side", "sorted").drop("sorted").mapInArrow(run, "u long, v long")
+    unsigned = F.col("bits").bitwiseXOR(F.lit(-(1 << 63)))
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "side", unsigned).mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, budget: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
