@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,12 @@ from .common import batched, cut, sized
 
 #: Distinct contexts of one core that are sorted in one task at most; cores with more are split into longer ones.
 GROUP = 500
-#: Contexts' symbols sorted at once in a task, bytes of text hashed at once.
+#: Contexts' symbols sorted (and bytes trimmed) at once in a task, bytes of text hashed at once.
 SYMBOLS, BYTES = 400_000, 1 << 20
+#: Bytes from which short texts are hashed together.
+STRETCH = 1 << 17
+#: Bytes by which trimmed() looks further away from a core.
+STEP = 8
 #: Words of a text hashed at once.
 WORDS = 1 << 17
 #: Strings below which they are emitted one by one.
@@ -195,12 +200,21 @@ class Powers:
 class Hashed:
     def __init__(self, x: np.ndarray):
         Powers.upto(len(x) + 1)
-        self.sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[x] * Powers.up[: len(x)], dtype=np.uint64)))
+        self.sums = np.zeros(len(x) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[x] * Powers.up[: len(x)], out=self.sums[1:])
 
     def of(self, a, b) -> np.ndarray:
         """64-bit hashes of x[a:b], by content and length."""
-        h = (self.sums[b] - self.sums[a]) * Powers.down[a]
-        h ^= (np.asarray(b - a).astype(np.uint64) + np.uint64(1)) * BASE
+        return self._mixed((self.sums[b] - self.sums[a]) * Powers.down[a], b - a)
+
+    def all(self, k: int) -> np.ndarray:
+        """of() each stretch of k bytes, from the first on."""
+        n = len(self.sums) - k
+        return self._mixed((self.sums[k:] - self.sums[:n]) * Powers.down[:n], k)
+
+    @staticmethod
+    def _mixed(h: np.ndarray, size) -> np.ndarray:
+        h ^= (np.atleast_1d(size).astype(np.uint64) + np.uint64(1)) * BASE
         h ^= h >> np.uint64(32)
         h *= _MIX
         h ^= h >> np.uint64(29)
@@ -216,25 +230,45 @@ def slide_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(m[: len(v) - w + 1], m[w - k : w - k + len(v) - w + 1])
 
 
-def anchored(x: np.ndarray, length: int, k: int) -> list[np.ndarray]:
-    """(s, n, core start, core hash, context hash) of runs of windows: the n windows of `length` bytes from s on whose anchor is the same.
+def joined(texts: Iterable[bytes], between: bytes = b"") -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(index of the first text, bytes, bounds) of about STRETCH bytes of texts at once, `between` after each but the last: numpy's calls would take longer than their work on one short text."""
+    held: list[bytes] = []
+    first = total = 0
+    for k, t in enumerate(texts):
+        held.append(t)
+        total += len(t)
+        if total >= STRETCH:
+            yield first, np.frombuffer(between.join(held), dtype=np.uint8), np.cumsum([0, *(len(t) + len(between) for t in held)])
+            held, first, total = [], k + 1, 0
+    if held:
+        yield first, np.frombuffer(between.join(held), dtype=np.uint8), np.cumsum([0, *(len(t) + len(between) for t in held)])
+
+
+def anchored(x: np.ndarray, bounds: np.ndarray, length: int, k: int) -> list[np.ndarray]:
+    """(text, s, n, core start, core hash, context hash) of runs of windows of the texts x[bounds[j]:bounds[j + 1]]: the n windows of `length` bytes from s on whose anchor is the same.
 
     A window's anchor is the stretch of k bytes in it with the least hash, the first one on ties; equal windows have
-    equal anchors at the same place. The context is what the run's windows cover. Long texts are taken in parts; runs
-    may then be cut in two, which changes no window's anchor.
+    equal anchors at the same place. The context is what the run's windows cover. Places count from a text's start. Long texts are taken in parts; runs
+    may then be cut in two, which changes no window's anchor. Windows that go over a text's end don't count.
     """
     w = length - k + 1
-    out = []
+    out = [[np.empty(0, dtype=t) for t in (np.int64,) * 4 + (np.uint64,) * 2]]
     for p in range(0, len(x) - length + 1, BYTES):
         y = x[p : p + BYTES + length - 1]
         h = Hashed(y)
-        core = np.arange(len(y) - k + 1)
-        value = h.of(core, core + k)
-        best = slide_min((value >> np.uint64(23) << np.uint64(23)) | core.astype(np.uint64), w)
-        at = (best & np.uint64((1 << 23) - 1)).astype(np.int64)
-        s = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        n = np.diff(np.append(s, len(at)))
-        out.append([s + p, n, at[s] + p, value[at[s]], h.of(s, s + n - 1 + length)])
+        value = h.all(k)
+        best = slide_min((value >> np.uint64(23) << np.uint64(23)) | np.arange(len(value), dtype=np.uint64), w)
+        inside = np.ones(len(best), dtype=bool)
+        for end in (bounds[1:] - p).tolist():
+            inside[max(end - length + 1, 0) : max(end, 0)] = False
+        place = np.flatnonzero(inside)
+        if not len(place):
+            continue
+        at = (best[place] & np.uint64((1 << 23) - 1)).astype(np.int64)
+        head = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        s, n, at = place[head], np.diff(np.append(head, len(at))), at[head]
+        of = np.searchsorted(bounds, s + p, side="right") - 1
+        out.append([of, s + p - bounds[of], n, at + p - bounds[of], value[at], h.of(s, s + n - 1 + length)])
     return [np.concatenate(c) for c in zip(*out)]
 
 
@@ -242,7 +276,7 @@ RUN = "doc_id long, row long, s long, n int, core long, core_len int, key long,
 
 
 def _runs(doc_ids, rows, got: list) -> pa.RecordBatch:
-    """got: (index of the document, s, n, core start, core length, key, ctx)."""
+    """got: (index of the document or of each run's, s, n, core start, core length, key, ctx)."""
     if got:
         k = np.concatenate([np.full(len(g[1]), g[0]) for g in got])
         s, n, c, w, key, ctx = (np.concatenate([np.broadcast_to(g[j], len(g[1])) for g in got]) for j in range(1, 7))
@@ -265,11 +299,9 @@ def runs(docs: DataFrame, length: int, core: int) -> DataFrame:
     def run(batches):
         for b in batches:
             got = []
-            for k, t in enumerate(b.column(2)):
-                x = np.frombuffer(data(t.as_py()), dtype=np.uint8)
-                if len(x) >= length:
-                    s, n, c, key, ctx = anchored(x, length, core)
-                    got.append((k, s, n, c, core, key, ctx))
+            for k, x, bounds in joined(data(t.as_py()) for t in b.column(2)):
+                of, s, n, c, key, ctx = anchored(x, bounds, length, core)
+                got.append((k + of, s, n, c, core, key, ctx))
             yield _runs(b.column(0), b.column(1), got)
 
     return docs.mapInArrow(run, RUN)
@@ -338,16 +370,51 @@ def contexts(held: DataFrame, length: int) -> DataFrame:
     return held.mapInArrow(run, "key long, ctx long, kinds long, core long, core_len int, n int, bytes binary")
 
 
+def trimmed(rows: list[tuple], length: int) -> list[tuple]:
+    """Contexts (key, ctx, kinds, core, core length, n, bytes) of whole keys, each followed by the number of windows left off at its start: without the windows that no other context can have.
+
+    How far from its core a context goes on like some other one of its key, to the left and to the right, is bounded in steps, by hashes. A window that reaches beyond either bound has no
+    equal, and a context without other windows is left out. Which of the rest are repeated is for the suffix array to say: what is shared on the left and on the right may be shared with different contexts.
+    """
+    key, core, width, n, size = (np.array(c, dtype=np.int64) for c in zip(*((r[0], r[3], r[4], r[5], len(r[6])) for r in rows)))
+    h = Hashed(np.frombuffer(b"".join(r[6] for r in rows), dtype=np.uint8))
+    a = np.cumsum(size) - size + core
+    salt = key.view(np.uint64) * BASE
+
+    def bound(room: np.ndarray, stretch) -> np.ndarray:
+        most, k, g = np.zeros(len(room), dtype=np.int64), np.arange(len(room)), STEP
+        while True:
+            k = k[room[k] >= g]
+            if not len(k):
+                return most + STEP - 1
+            _, same, count = np.unique(stretch(k, g) ^ salt[k], return_inverse=True, return_counts=True)
+            k = k[count[same] > 1]
+            most[k] = g
+            g += STEP
+
+    left = bound(core, lambda k, g: h.of(a[k] - g, a[k]))
+    right = bound(size - core - width, lambda k, g: h.of(a[k] + width[k], a[k] + width[k] + g))
+    first, last = np.maximum(core - left, 0), np.minimum(core - (length - width) + right, n - 1)
+    live = np.flatnonzero(first <= last)
+    _, same, count = np.unique(key[live], return_inverse=True, return_counts=True)
+    live = live[count[same] > 1]
+    out = []
+    for k, s, e in zip(live.tolist(), first[live].tolist(), last[live].tolist()):
+        key_, ctx, kinds, c, w, _, text = rows[k]
+        out.append((key_, ctx, kinds, c - s, w, e - s + 1, text[s : e + length], s))
+    return out
+
+
 def sorted_hits(ctx: DataFrame, length: int) -> DataFrame:
     """(key, ctx, a, b): windows a..b-1 of the context (counted from its start) that some other context of its key has, too.
 
-    The contexts of one key become one string: what stands before the core, one symbol for the core (they share it), what
+    The contexts of one key, trimmed, become one string: what stands before the core, one symbol for the core (they share it), what
     comes after, and a border. Its suffix array tells which windows occur twice. A window holds the whole core, so its place in the other context is the same.
     """
 
     def one(rows: list[tuple]) -> list[tuple]:
         parts, starts, where, at = [], [0], [], 0
-        for k, (key, _, _, core, width, n, data) in enumerate(rows):
+        for k, (key, _, _, core, width, n, data, _) in enumerate(rows):
             x = np.frombuffer(data, dtype=np.uint8).astype(np.int64) + 3
             parts += [x[:core], np.array([2]), x[core + width :], np.array([1])]
             where.append((at, n, length - width + 1))
@@ -364,9 +431,23 @@ def sorted_hits(ctx: DataFrame, length: int) -> DataFrame:
         for (s, n, m), r in zip(where, rows):
             hit = np.concatenate(([0], hits[m][s : s + n].astype(np.int8), [0]))
             edge = np.flatnonzero(np.diff(hit))
-            out += [(r[0], r[1], int(a), int(b)) for a, b in zip(edge[::2], edge[1::2])]
+            out += [(r[0], r[1], r[7] + a, r[7] + b) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
         return out
 
+    def keys(batches):
+        """Rows of whole keys, about SYMBOLS bytes at once."""
+        held: list[tuple] = []
+        total = 0
+        for b in batches:
+            for r in zip(*(b.column(c).to_pylist() for c in ("key", "ctx", "kinds", "core", "core_len", "n", "bytes"))):
+                if total >= SYMBOLS and held[-1][0] != r[0]:
+                    yield held
+                    held, total = [], 0
+                held.append(r)
+                total += len(r[6])
+        if held:
+            yield held
+
     def run(batches):
         held: list[tuple] = []
         total = 0
@@ -375,13 +456,13 @@ def sorted_hits(ctx: DataFrame, length: int) -> DataFrame:
             got = one(rows)
             return pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], type=t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["key", "ctx", "a", "b"])
 
-        for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("key", "ctx", "kinds", "core", "core_len", "n", "bytes"))):
-                if total >= SYMBOLS and held[-1][0] != r[0]:
-                    yield flush(held)
-                    held, total = [], 0
-                held.append(r)
-                total += len(r[6]) - r[4] + 2
+        for rows in keys(batches):
+            rows = trimmed(rows, length)
+            held += rows
+            total += sum(len(r[6]) - r[4] + 2 for r in rows)
+            if total >= SYMBOLS:
+                yield flush(held)
+                held, total = [], 0
         if held:
             yield flush(held)
 
@@ -509,8 +590,8 @@ def deduplicated(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     return held.mapInArrow(run, "doc_id long, row long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def word_codes(text: bytes) -> bytes:
-    """A byte of each word's hash; words are parted by ASCII white space."""
+def word_codes(text: bytes | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a byte of each word's hash, where the word starts); words are parted by ASCII white space."""
     x = np.frombuffer(text, dtype=np.uint8)
     word = np.concatenate(([False], (x != 32) & ((x < 9) | (x > 13)), [False]))
     edge = np.flatnonzero(word[1:] != word[:-1])
@@ -519,7 +600,7 @@ def word_codes(text: bytes) -> bytes:
     for k in range(0, len(start), WORDS):
         a, b = start[k : k + WORDS], end[k : k + WORDS]
         out.append((Hashed(x[a[0] : b[-1]]).of(a - a[0], b - a[0]) >> np.uint64(56)).astype(np.uint8))
-    return np.concatenate(out).tobytes()
+    return np.concatenate(out), start
 
 
 def anchors(docs: DataFrame, words: int, core: int) -> DataFrame:
@@ -527,18 +608,16 @@ def anchors(docs: DataFrame, words: int, core: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            who, cols = [], [[], [], []]
-            for w, t in zip(b.column(0).to_pylist(), b.column(1)):
-                x = np.frombuffer(word_codes(data(t.as_py())), dtype=np.uint8)
-                if len(x) < words:
-                    continue
-                s, n, _, key, ctx = anchored(x, words, core)
-                first = np.unique(ctx, return_index=True)[1]
-                for col, v in zip(cols, (key[first].view(np.int64), ctx[first].view(np.int64), s[first] << 8 | n[first])):
-                    col.append(v)
-                who.append(np.full(len(first), w))
-            if who:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (*cols[:2], who, cols[2])], names=["key", "ctx", "who", "at"])
+            who = b.column(0).to_numpy()
+            for k, x, bounds in joined((data(t.as_py()) for t in b.column(1)), b" "):
+                codes, start = word_codes(x)
+                of, s, n, _, key, ctx = anchored(codes, np.searchsorted(start, bounds), words, core)
+                order = np.lexsort((ctx, of))
+                new = np.ones(len(order), dtype=bool)
+                new[1:] = (ctx[order][1:] != ctx[order][:-1]) | (of[order][1:] != of[order][:-1])
+                first = order[new]
+                cols = (key[first].view(np.int64), ctx[first].view(np.int64), who[k + of[first]], s[first] << 8 | n[first])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "ctx", "who", "at"])
 
     return docs.select("who", "text").mapInArrow(run, "key long, ctx long, who long, at long")
 
@@ -604,7 +683,7 @@ def windows(held: DataFrame, words: int) -> DataFrame:
     def run(batches):
         for b in batches:
             for who, t, rs in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                h, r = Hashed(np.frombuffer(word_codes(data(t.as_py())), dtype=np.uint8)), rs.values.to_numpy()
+                h, r = Hashed(word_codes(data(t.as_py()))[0]), rs.values.to_numpy()
                 at = np.unique(np.concatenate([np.arange(a >> 8, (a >> 8) + (a & 255)) for a in r.tolist()]))
                 got = np.unique(h.of(at, at + words)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), who)), pa.array(got)], names=["who", "window"])
